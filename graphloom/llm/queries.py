@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, near_dedup, url_filter
 from .common import table
 
 #: the rules that the url query judges by
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -26,7 +30,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op5_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_mix_sources, op5_url_filter)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -36,6 +40,16 @@ SQL = {
         SELECT doc_id, k AS keep_id, g AS group_size, doc_id IS NOT DISTINCT FROM k AS kept, text_sha256 FROM (
             SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST) AS k,
                    count(*) OVER (PARTITION BY t) AS g, sha256(t) AS text_sha256 FROM d)""",
+    "op2_minhash_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT n, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        x AS MATERIALIZED (SELECT n, len(s) AS c, unnest(s) AS g FROM s),
+        p AS (SELECT a.n AS i, b.n AS j, any_value(a.c + b.c) AS c, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.n < b.n GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT i, j FROM p WHERE 100 * k >= 80 * (c - k)),
+        e AS MATERIALIZED (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+        r(n, m) AS (SELECT n, n FROM s UNION SELECT r.n, e.j FROM r JOIN e ON r.m = e.i),
+        c AS (SELECT r.n, min(t.doc_id) AS component_id FROM r JOIN s t ON r.m = t.n GROUP BY r.n)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN c USING (n)""",
     "op3_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
