@@ -127,6 +127,14 @@ def hash_words(body: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) ->
     return h, np.diff(np.searchsorted(start, at)), start, end
 
 
+def hash_spans(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each nonempty span of bytes, cases apart."""
+    power, inverse = _tables(len(body))
+    values = _BYTE[body] * power[: len(body)]
+    sums = np.cumsum(values)
+    return mix((sums[end - 1] - sums[start] + values[start]) * inverse[start])
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + mix(b ^ np.uint64(0xA5A5A5A55A5A5A5A)))
 
