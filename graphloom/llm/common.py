@@ -47,8 +47,9 @@ _STEP = 1 << 20  # bytes of text hashed at once
 _P, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: by byte: A-Z lower-cased
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: by byte: what separates words
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -120,7 +121,7 @@ def hash_words(body: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) ->
     after[at[1:][full] - 1] = False
     start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
     power, inverse = _tables(n)
-    values = _BYTE[_LOWER[body]]
+    values = _BYTE[LOWER[body]]
     values *= power[:n]
     sums = np.cumsum(values)
     h = mix((sums[end - 1] - sums[start] + values[start]) * inverse[start])
