@@ -213,6 +213,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, whatever their columns, that near_duplicates keeps; of rows that repeat a kept doc_id the one with the least text hash.
+
+    Rows without doc_id are kept.
+    """
+    kept = near_duplicates(docs, shingle_words, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
+    kept = spool(kept.groupBy("kept_id").agg(F.count(F.lit(1)).alias("kept_rows")), "kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"])
+    out = rows.where("kept_rows = 1").select(*columns).unionByName(docs.where("doc_id IS NULL"))
+    if kept.where("kept_rows > 1").isEmpty():
+        return out
+    again = rows.where("kept_rows > 1").withColumn("text_hash", F.xxhash64("text"))
+    least = again.groupBy(F.col("kept_id").alias("i")).agg(F.min("text_hash").alias("h"))
+    return out.unionByName(again.join(least, (F.col("kept_id") == F.col("i")) & (F.col("text_hash") == F.col("h"))).select(*columns).dropDuplicates())
+
+
 def _estimated(pairs: DataFrame, sketch: DataFrame, near: float) -> DataFrame:
     a, b = sketch.select(F.col("class").alias("a"), F.col("sketch").alias("ka")), sketch.select(F.col("class").alias("b"), F.col("sketch").alias("kb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", estimate(F.col("ka"), F.col("kb")).alias("similar")).where(F.col("similar") >= near)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, mixing, near_dedup, quality, secret_scan, token_files, toxicity, url_filter
+from . import decontamination, exact_dedup, lm_score, mixing, near_dedup, quality, secret_scan, token_files, toxicity, url_filter
 from .common import table
 
 #: the rules that the url query judges by
@@ -52,6 +52,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels, ("toxic", "toxic_spam"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), vocabulary(token_files.VOCABULARY))
 
@@ -60,7 +64,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_mix_sources, op4_secret_scan, op5_url_filter, op6_decontamination, op7_toxicity, op9_token_files, op10_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_mix_sources, op4_secret_scan, op5_url_filter, op6_decontamination, op7_toxicity, op8_lm_score, op9_token_files, op10_importance_resampling)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
