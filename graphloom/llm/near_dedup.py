@@ -18,6 +18,8 @@ PERMUTATIONS = BANDS * ROWS
 BITS = 2
 #: A candidate's estimate must come to the threshold less this: 4.7 standard deviations at 128 minima of 2 bits.
 MARGIN = 0.2
+#: So often, members outside a bucket's largest component try the best of so many of its members before all pairs between components are looked at.
+TURNS, TRIED = 3, 4
 
 _rng = np.random.default_rng(64)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -156,11 +158,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
 
-    Rows of one shingle set are one class.  Classes that share a band of minima meet in a bucket.  First every member is held against the
-    bucket's least class, and of those candidates the one with the best estimate is confirmed on the full sets: pairs in proportion to rows.
-    The links give components; a bucket within one component can add none.  In the others, members outside the largest component
-    are held against all members of other components, so that no link between components is lost and a large group is
-    never paired with itself.  Estimates only leave out pairs that are MARGIN below the threshold.
+    Rows of one shingle set are one class.  Classes that share a band of minima meet in a bucket.  First every member is held against one
+    of each bucket, and of those candidates the one with the best estimate is confirmed on the full sets: pairs in proportion to rows.  The
+    links give components; a bucket within one component can add none.  In the others, members outside the largest component try a few of
+    its members, a few times over; what is left of them is then held against all members of other components, so that no link between
+    components is lost and a large group is never paired with itself.  Estimates only leave out pairs that are MARGIN below the threshold.
 
     component_id is the smallest doc_id that links lead to.  A null or empty text has no shingles and no links, and is
     kept.  A row without doc_id takes part, and counts as the last of its component: component_id is null only where no row has an id,
@@ -168,19 +170,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """
     text = docs.select("doc_id", "text")
     rows = spool(text.mapInArrow(_sketch(shingle_words), SKETCH), "sketches")
-    some = rows.where("class IS NOT NULL")
-    classes = some.groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     classes = spool(classes, "classes")
     sketch = classes.select("class", "sketch")
 
-    keys = classes.select("class", F.explode("bands").alias("bucket"))
-    buckets = keys.groupBy(F.col("bucket").alias("k")).agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = spool(keys.join(spool(buckets, "buckets"), F.col("bucket") == F.col("k")).select("bucket", "class", "first"), "members")
-
-    stars = members.where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+    keys = classes.select("class", F.posexplode("bands").alias("band", "bucket"))
+    # a random member, another one in each bucket, so that a class meets many
+    some = F.struct(F.xxhash64("bucket", "class").alias("h"), F.col("class").alias("first"))
+    buckets = keys.groupBy(F.col("bucket").alias("k")).agg(F.min(some).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("k", "x.first")
+    members = spool(keys.join(spool(buckets, "buckets"), F.col("bucket") == F.col("k")).select("bucket", "band", "class", "first"), "members")
     near = (percent / 100) - MARGIN
-    stars = _estimated(stars, sketch, near)
-    best = spool(stars.groupBy("a").agg(F.max(F.struct("similar", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "best")
+    best = _best(members.where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")), sketch, near)
 
     # sets of the classes that may be confirmed; text moves once, for them only
     wanted = classes.join(members.select("class").distinct(), "class", "left_semi").select(F.col("doc_id").alias("id")).distinct()
@@ -189,18 +189,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     sets = spool(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
 
     links = spool(_confirm(best, sets, percent), "links")
-    found = components(links)
-    label = members.select("bucket", "class").join(found.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("label"))
-    label = spool(label, "labels")
-    parts = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("bucket").alias("k"), F.col("most.label").alias("largest"))
-    parts = spool(parts, "parts")
-    mixed = spool(label.join(parts, F.col("bucket") == F.col("k")).select("bucket", "class", "label", "largest"), "mixed")
-    mixed = spool(mixed.join(sketch, "class"), "mixed_sketches")
-    a = mixed.where("label <> largest").select("bucket", F.col("class").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("ka"))
-    b = mixed.select(F.col("bucket").alias("bk"), F.col("class").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("kb"))
-    cross = a.join(b, (F.col("bucket") == F.col("bk")) & (F.col("la") != F.col("lb")) & (estimate(F.col("ka"), F.col("kb")) >= near))
-    cross = spool(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    found, at = components(links), members.select("bucket", "band", "class")
+    for turn in range(TURNS):
+        at = _between(at, found)
+        if at.isEmpty():
+            break
+        largest = at.where("label = largest").groupBy(F.col("bucket").alias("k")).agg(*[F.min_by("class", F.xxhash64("class", "bucket", F.lit(TRIED * turn + i + 1))).alias(f"m{i}") for i in range(TRIED)])
+        others = at.where("label <> largest").select("bucket", F.col("class").alias("a"))
+        tried = others.join(spool(largest, "largest"), F.col("bucket") == F.col("k")).select("a", F.explode(F.array_distinct(F.array(*[f"m{i}" for i in range(TRIED)]))).alias("b"))
+        links = spool(links.unionByName(_confirm(_best(tried, sketch, near), sets, percent)), "links")
+        found = components(links)
+    at = _between(at, found)
+    at = spool(at.join(classes.select("class", "sketch", "bands"), "class"), "between_sketches")
+    a = at.where("label <> largest").select("bucket", "band", F.col("class").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("ka"), F.col("bands").alias("da"))
+    b = at.select(F.col("bucket").alias("bk"), F.col("class").alias("b"), F.col("label").alias("lb"), F.col("largest").alias("gb"), F.col("sketch").alias("kb"), F.col("bands").alias("db"))
+    # a pair that meets in several buckets counts in the first, and once where neither is in the largest component
+    first = F.array_position(F.zip_with("da", "db", lambda x, y: x == y), True) == F.col("band") + 1
+    once = (F.col("lb") == F.col("gb")) | (F.col("a") < F.col("b"))
+    cross = a.join(b, (F.col("bucket") == F.col("bk")) & (F.col("la") != F.col("lb")) & once & (estimate(F.col("ka"), F.col("kb")) >= near) & first)
+    cross = spool(cross.select("a", "b"), "cross")
     links = links.unionByName(_confirm(cross, sets, percent))
     found = components(links).select(F.col("node").alias("class"), "root")
 
@@ -230,6 +237,18 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Data
     return out.unionByName(again.join(least, (F.col("kept_id") == F.col("i")) & (F.col("text_hash") == F.col("h"))).select(*columns).dropDuplicates())
 
 
-def _estimated(pairs: DataFrame, sketch: DataFrame, near: float) -> DataFrame:
+def _best(pairs: DataFrame, sketch: DataFrame, near: float) -> DataFrame:
+    """Of each class's pairs the one with the best estimate, if that is near enough."""
     a, b = sketch.select(F.col("class").alias("a"), F.col("sketch").alias("ka")), sketch.select(F.col("class").alias("b"), F.col("sketch").alias("kb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", estimate(F.col("ka"), F.col("kb")).alias("similar")).where(F.col("similar") >= near)
+    pairs = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", estimate(F.col("ka"), F.col("kb")).alias("similar")).where(F.col("similar") >= near)
+    return spool(pairs.groupBy("a").agg(F.max(F.struct("similar", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "best")
+
+
+def _between(at: DataFrame, found: DataFrame) -> DataFrame:
+    """Of buckets whose members are of several components: bucket, band, class, label and the label of the bucket's largest component."""
+    label = at.select("bucket", "band", "class").join(found.select(F.col("node").alias("class"), "root"), "class", "left")
+    label = spool(label.select("bucket", "band", "class", F.coalesce("root", "class").alias("label")), "labels")
+    parts = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    parts = spool(parts.select("k", F.col("most.label").alias("largest")), "parts")
+    return spool(label.join(parts, F.col("bucket") == F.col("k")).select("bucket", "band", "class", "label", "largest"), "between")
