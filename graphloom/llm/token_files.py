@@ -23,7 +23,7 @@ END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 #: So many pieces of text keep their ids; then the store starts anew.
-_KEPT = 600_000
+_KEPT = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -152,6 +152,16 @@ class Encoder:
         self.flat = np.concatenate(ids)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each vocabulary in a worker process, so that its later tasks find pieces already encoded."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 BLOCKS = "shard int, block int, start bigint, n_ids bigint, bits int, doc_ids array<bigint>, lengths array<int>, payload binary"
 
 
@@ -159,8 +169,8 @@ def _blocks(path: str, end: int, block: int):
     """In each task: the documents' ids in order, in blocks; start counts from the shard's first id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        bits = bits_for(max(encoder.tokenizer.get_vocab_size(), end + 1))
+        own = encoder(path)
+        bits = bits_for(max(own.tokenizer.get_vocab_size(), end + 1))
         number, start, waiting = 0, 0, 0
         docs, lengths, held = [], [], []
 
@@ -176,7 +186,7 @@ def _blocks(path: str, end: int, block: int):
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
                 shard = part.column(2)[0].as_py()
-                ids, count = encoder.encode(part.column(1))
+                ids, count = own.encode(part.column(1))
                 at = np.concatenate([[0], np.cumsum(count)])
                 for i, doc in enumerate(part.column(0).to_pylist()):
                     docs.append(doc)
