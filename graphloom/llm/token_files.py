@@ -23,7 +23,7 @@ END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 #: So many pieces of text keep their ids; then the store starts anew.
-_KEPT = 1_000_000
+_KEPT = 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -94,7 +94,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.kept: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and each one's place in starts and long
         self.flat, self.starts, self.long = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,16 +108,20 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         start = piece_starts(body, at)
         end = np.append(start[1:], len(body))
-        if len(self.kept) > _KEPT:
+        if len(self.keys) > _KEPT:
             self._reset()
         keys, first, which = np.unique(hash_spans(body, start, end), return_index=True, return_inverse=True)
-        kept = self.kept
-        n = len(kept)
-        place = np.fromiter((kept.setdefault(k, len(kept)) for k in keys.tolist()), np.int64, len(keys))
-        fresh = np.flatnonzero(place >= n)
+        at_key = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at_key < len(self.keys)
+        known[inside] = self.keys[at_key[inside]] == keys[inside]
+        fresh = np.flatnonzero(~known)
         if len(fresh):
-            own = body.tobytes()
+            n, own = len(self.starts), body.tobytes()
             self._add([own[start[i] : end[i]].decode("utf-8", "replace") for i in first[fresh]])
+            self.keys = np.insert(self.keys, at_key[fresh], keys[fresh])
+            self.slot = np.insert(self.slot, at_key[fresh], np.arange(n, n + len(fresh)))
+        place = self.slot[np.searchsorted(self.keys, keys)]
         each = place[which]
         long = self.long[each]
         total = np.concatenate([[0], np.cumsum(long)])
