@@ -18,7 +18,7 @@ SCORE = 0.6
 #: A retrieved item is a leak if so much of its 5-word shingles is in the passage, and this share of the question's and of the answer's words.
 SHINGLE, SHARE, PART = 5, 0.8, 0.5
 #: Items in a posting block, and in one index: more items take more passes over the documents.
-POSTINGS, ITEMS, ITEM_BYTES = 16, 20_000, 20_000_000
+POSTINGS, ITEMS, ITEM_BYTES = 4, 20_000, 20_000_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 
 
@@ -91,22 +91,42 @@ class Index:
         return np.where(self.terms[t] == words, t, -1)
 
     def passages(self, words: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(document, start, end) of the passages whose essential terms could reach half the threshold."""
+        """(document, start, end) of the passages for which some block of items could get its share of the threshold from essential terms.
+
+        Passages hold 2 * longest words and start every longest words, so a word lies in two of them.  Each passage's distinct essential terms
+        are first summed by their largest impacts, then by their largest ones in each block.
+        """
         maybe = np.flatnonzero(self.bits[(words >> np.uint64(44)).astype(np.int64)])
-        if not len(maybe):
+        t = self.lookup(words[maybe]) if len(maybe) else maybe
+        maybe, t = maybe[t >= 0], t[t >= 0]
+        maybe, t = maybe[~self.easy[t]], t[~self.easy[t]]
+        if not len(t):
             return
-        t = self.lookup(words[maybe])
-        bound = np.zeros(len(words) + 1)
-        bound[maybe + 1] = np.where(t >= 0, self.bound[t], 0)
-        sums = np.cumsum(bound)
-        ends = np.cumsum(count)
-        n = np.maximum(1, -(-(count - self.longest) // self.longest))  # passages of 2 * longest words, one every longest words
-        doc = np.repeat(np.arange(len(count)), n)
-        k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        start = ends[doc] - count[doc] + k * self.longest
-        end = np.minimum(start + 2 * self.longest, ends[doc])
-        for i in np.flatnonzero(sums[end] - sums[start] >= self.score / 2 - 1e-9):
-            yield int(doc[i]), int(start[i]), int(end[i])
+        half = self.score - self.easy_sum.max(initial=0.0) - 1e-9
+        n = np.maximum(1, -(-(count - self.longest) // self.longest))
+        base, ends = np.cumsum(n) - n, np.cumsum(count)
+        doc = np.searchsorted(ends, maybe, "right")
+        k = (maybe - (ends - count)[doc]) // self.longest
+        at = np.concatenate([base[doc] + np.minimum(k, n[doc] - 1), base[doc] + np.maximum(k - 1, 0)])
+        pairs = np.unique(at * len(self.terms) + np.concatenate([t, t]))
+        window, term = pairs // len(self.terms), pairs % len(self.terms)
+        windows, which = np.unique(window, return_inverse=True)
+        enough = np.bincount(which, self.bound[term]) >= half
+        window, term = window[enough[which]], term[enough[which]]
+        step = max(1, 4_000_000 // self.blocks)
+        windows = windows[enough]
+        for low in range(0, len(windows), step):
+            own = slice(*np.searchsorted(window, [windows[low], windows[min(low + step, len(windows)) - 1] + 1]))
+            first, size = self.block_first[term[own]], np.diff(self.block_first)[term[own]]
+            entry = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+            row = np.repeat(np.searchsorted(windows, window[own]) - low, size)
+            block = self.block_key[entry] % self.blocks
+            part = windows[low : low + step]
+            sums = np.bincount(row * self.blocks + block, self.block_max[entry], len(part) * self.blocks).reshape(len(part), self.blocks)
+            for w in part[sums.max(axis=1) >= half]:
+                d = int(np.searchsorted(base, w, "right")) - 1
+                start = int(ends[d] - count[d] + (w - base[d]) * self.longest)
+                yield d, start, int(min(start + 2 * self.longest, ends[d]))
 
     def query(self, passage: np.ndarray) -> list[tuple[int, float]]:
         """All items at or above the threshold, with their scores."""
