@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,18 @@ def backup(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+_stores: WeakKeyDictionary[SparkSession, dict[str, EntityStore]] = WeakKeyDictionary()
+
+
 def trade_store(spark: SparkSession, at: str) -> EntityStore:
+    """The store over the tables at a place, opened once in a session."""
+    own = _stores.setdefault(spark, {})
+    if at not in own:
+        own[at] = open_trade_store(spark, at)
+    return own[at]
+
+
+def open_trade_store(spark: SparkSession, at: str) -> EntityStore:
     """The order tables as entities; lineitem rows, which have no key, are the edges from orders to parts and suppliers.
 
     Customer and Supplier are subtypes of Party.  Some properties and links are derived so that values and links may be missing.
