@@ -120,20 +120,24 @@ def hash_words(body: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) ->
     after[-1], after[:-1] = False, word[1:]
     after[at[1:][full] - 1] = False
     start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    power, inverse = _tables(n)
-    values = _BYTE[LOWER[body]]
-    values *= power[:n]
-    sums = np.cumsum(values)
-    h = mix((sums[end - 1] - sums[start] + values[start]) * inverse[start])
-    return h, np.diff(np.searchsorted(start, at)), start, end
+    return hash_spans(LOWER[body], start, end), np.diff(np.searchsorted(start, at)), start, end
 
 
 def hash_spans(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each nonempty span of bytes, cases apart."""
-    power, inverse = _tables(len(body))
-    values = _BYTE[body] * power[: len(body)]
-    sums = np.cumsum(values)
-    return mix((sums[end - 1] - sums[start] + values[start]) * inverse[start])
+    """A 64-bit hash of each nonempty span of bytes; starts and ends ascend.  About a MB of bytes is worked on at once, however long the text."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _STEP, "right")))
+        low = start[i]
+        part = body[low : end[j - 1]]
+        power, inverse = _tables(len(part))
+        values = _BYTE[part]
+        values *= power[: len(part)]
+        sums = np.cumsum(values)
+        s, e = start[i:j] - low, end[i:j] - low
+        out[i:j] = mix((sums[e - 1] - sums[s] + values[s]) * inverse[s])
+        i = j
+    return out
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:

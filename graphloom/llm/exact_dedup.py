@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, spool
@@ -17,7 +19,7 @@ def chunk_pattern(shortest: int = SHORTEST, longest: int = LONGEST, cut: str = C
     return rf"(?s).{{{shortest},{longest - 1}}}?{cut}|.{{1,{longest}}}"
 
 
-def exact_duplicates(docs: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
+def exact_duplicates(docs: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_chunks of every row of docs(doc_id, text).
 
     Texts are equal when identical without white space.  Each text becomes its recipe: the ordered ids of its content-defined
@@ -33,14 +35,14 @@ def exact_duplicates(docs: DataFrame, shortest: int = SHORTEST, longest: int = L
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.select("doc_id", F.char_length("text").alias("length"), F.regexp_replace("text", ws, "").alias("norm"))
     base = base.select("doc_id", "length", "norm", F.expr(f"regexp_extract_all(norm, '{_sql(chunk_pattern(shortest, longest))}', 0)").alias("chunks"))
-    rows = base.select("doc_id", "length", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe"))
+    rows = base.select("doc_id", "length", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", lambda c: chunk_hash(c)).alias("recipe"))
     rows = spool(rows, "recipes")
 
-    chunk = base.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("h"), "chunk").distinct()
+    chunk = base.select(F.explode("chunks").alias("chunk")).select(chunk_hash(F.col("chunk")).alias("h"), "chunk").distinct()
     shared = chunk.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h")
     shared = spool(shared, "shared_hashes")  # hashes with several texts: as good as always none
     if not shared.isEmpty():
-        rows = _split(rows, base, shared)
+        rows = _split(rows, base, shared, chunk_hash)
 
     key = F.struct(F.col("length").cast("decimal(20,0)"), (-F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(20,0)")).alias("d"), "doc_id")
     groups = rows.groupBy("recipe").agg(F.max(key).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -54,9 +56,9 @@ def _sql(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def _split(rows: DataFrame, base: DataFrame, shared: DataFrame) -> DataFrame:
+def _split(rows: DataFrame, base: DataFrame, shared: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
     """Where different chunks share a hash, put their rank by text in front of it in the recipe."""
-    at = base.select("doc_id", "length", F.sha2("norm", 256).alias("text_sha256"), F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", F.xxhash64("chunk"))
+    at = base.select("doc_id", "length", F.sha2("norm", 256).alias("text_sha256"), F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", chunk_hash(F.col("chunk")))
     at = at.join(shared, "h", "left_semi")
     texts = at.select("h", "chunk").distinct()
     less = texts.alias("x").join(texts.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("y.chunk") < F.col("x.chunk")), "left")

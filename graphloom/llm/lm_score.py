@@ -42,12 +42,36 @@ def _pairs(words: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> tuple[
     return pair_hash(words[before], words[stream]), before
 
 
-ROWS = "chunk bigint, held boolean, part int, kind int, keys binary, counts binary, doc_ids array<bigint>, lengths array<int>, stream binary"
-_SCHEMA = pa.schema([("chunk", pa.int64()), ("held", pa.bool_()), ("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("stream", pa.binary())])
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
-def _chunk(number: int, held: bool, ids: list, texts: pa.Array, parts: int) -> Iterator[pa.RecordBatch]:
-    """The chunk's tokens (no kind), and its questions: sorted distinct words (kind 0) and pairs (kind 1), with their training counts."""
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers, compressed byte plane by byte plane: the high bytes are as good as all alike."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return len(values).to_bytes(8, "little") + (_CODEC.compress(planes.tobytes(), asbytes=True) if len(values) else b"")
+
+
+def expand(blob: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(_CODEC.decompress(blob[8:], n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def expand_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(expand(blob, "<u8"))
+
+
+CHUNKS = "chunk bigint, held boolean, words binary, ranks binary, stream binary, doc_ids array<bigint>, lengths array<int>"
+
+
+def _chunk(number: int, held: bool, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """A chunk's distinct words in order, each one's rank by frequency, and its tokens as ranks."""
     body, at = raw_text(texts)
     h, count, _, _ = hash_words(body, at)
     lengths = count + 1
@@ -55,101 +79,118 @@ def _chunk(number: int, held: bool, ids: list, texts: pa.Array, parts: int) -> I
     inner = np.ones(len(tokens), bool)
     inner[np.cumsum(lengths) - 1] = False
     tokens[inner] = h
-    words, stream = np.unique(tokens, return_inverse=True)
-    pairs, pair_count = np.unique(_pairs(words, stream, lengths)[0], return_counts=True)
-    word_count = np.bincount(stream, minlength=len(words))
-    none = {k: None for k in _SCHEMA.names}
-    yield pa.RecordBatch.from_pylist([none | {"chunk": number, "held": held, "keys": words.tobytes(), "doc_ids": ids, "lengths": lengths.tolist(), "stream": stream.astype("<u4").tobytes()}], schema=_SCHEMA)
-    shift = np.uint64(65 - parts.bit_length())
-    for kind, keys, n in ((0, words, word_count), (1, pairs, pair_count)):
-        bounds = np.searchsorted((keys >> shift) if parts > 1 else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
-        rows = []
-        for p in range(parts):
-            own = slice(bounds[p], bounds[p + 1])
-            if bounds[p + 1] > bounds[p]:
-                rows.append(none | {"chunk": number, "held": held, "part": p, "kind": kind, "keys": keys[own].tobytes(), "counts": b"" if held else n[own].astype("<i8").tobytes()})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-
-
-def _chunks(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        waiting = {flag: [0, [], []] for flag in (False, True)}
+    words, stream, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    ranks = np.empty(len(words), "<u4")
+    ranks[np.argsort(-often, kind="stable")] = np.arange(len(words))
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(lengths.astype(np.int32)))]
+    blobs = [squeeze_keys(words), squeeze(ranks), squeeze(ranks[stream])]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held]), *(pa.array([x], pa.binary()) for x in blobs), *lists], names=["chunk", "held", "words", "ranks", "stream", "doc_ids", "lengths"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of held-out documents and of others."""
+    number = TaskContext.get().partitionId() << 32
+    waiting: dict[bool, list] = {flag: [0, [], []] for flag in (False, True)}
+
+    def flush(flag: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal number
+        _, ids, texts = waiting[flag]
+        waiting[flag] = [0, [], []]
+        if ids:
+            number += 1
+            yield _chunk(number, flag, pa.concat_arrays(ids), pa.concat_arrays(texts))
+
+    for batch in batches:
+        held = batch.column(2).fill_null(False)
+        for flag in (False, True):
+            own = batch.filter(held if flag else pa.compute.invert(held))
+            texts = own.column(1).fill_null("")
+            _, at = raw_text(texts)
+            for i, j in slices(at, CHUNK):
+                w = waiting[flag]
+                w[0] += int(at[j] - at[i])
+                w[1].append(own.column(0).slice(i, j - i))
+                w[2].append(texts.slice(i, j - i))
+                if w[0] >= CHUNK:
+                    yield from flush(flag)
+    for flag in (False, True):
+        yield from flush(flag)
+
+
+class Tokens:
+    """A chunk unpacked: distinct words, tokens as places among them, pairs of neighbours."""
+
+    def __init__(self, row: dict):
+        self.ids, self.lengths = row["doc_ids"], np.array(row["lengths"], np.int64)
+        self.words = expand_keys(row["words"])
+        ranks = expand(row["ranks"], "<u4")
+        place = np.empty(len(ranks), np.int64)
+        place[ranks] = np.arange(len(ranks))
+        self.stream = place[expand(row["stream"], "<u4")]
+        self.pairs, self.before = _pairs(self.words, self.stream, self.lengths)
+
 
-        def flush(flag: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            _, ids, texts = waiting[flag]
-            waiting[flag] = [0, [], []]
-            if ids:
-                number += 1
-                yield from _chunk(number, flag, ids, pa.concat_arrays(texts), parts)
+QUESTIONS = "chunk bigint, part int, kind int, keys binary, counts binary"
 
+
+def _questions(parts: int):
+    """Of a chunk: its sorted distinct words (kind 0) and pairs (kind 1) by hash range, with their counts unless it is held out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(65 - parts.bit_length())
         for batch in batches:
-            held = batch.column(2).fill_null(False)
-            for flag in (False, True):
-                own = batch.filter(held if flag else pa.compute.invert(held))
-                texts = own.column(1).fill_null("")
-                _, at = raw_text(texts)
-                for i, j in slices(at, CHUNK):
-                    w = waiting[flag]
-                    w[0] += int(at[j] - at[i])
-                    w[1] += own.column(0).slice(i, j - i).to_pylist()
-                    w[2].append(texts.slice(i, j - i))
-                    if w[0] >= CHUNK:
-                        yield from flush(flag)
-        for flag in (False, True):
-            yield from flush(flag)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                t = Tokens(row)
+                for kind, (keys, n) in enumerate(((t.words, np.bincount(t.stream, minlength=len(t.words))), np.unique(t.pairs, return_counts=True))):
+                    bounds = np.searchsorted((keys >> shift) if parts > 1 else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
+                    some = np.flatnonzero(np.diff(bounds))
+                    own = [slice(bounds[p], bounds[p + 1]) for p in some]
+                    columns = [pa.array(np.full(len(some), row["chunk"])), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array([squeeze_keys(keys[x]) for x in own], pa.binary()), pa.array([None if row["held"] else squeeze(n[x].astype("<i8")) for x in own], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "kind", "keys", "counts"])
 
     return run
 
 
+ANSWERS = "chunk bigint, part int, kind int, answers binary, known bigint, total bigint"
+
+
 def _add_up(table: pa.Table) -> pa.Table:
     """Of one hash range: the training count of every key that a chunk asked for, and, as chunk -1, how many words and tokens there are."""
-    chunks, parts, kinds, answers, distinct, tokens = [], [], [], [], [], []
+    out: dict[str, list] = {n: [] for n in ("chunk", "part", "kind", "answers", "known", "total")}
     part = table.column("part")[0].as_py()
+
+    def add(*row) -> None:
+        for n, x in zip(out, row, strict=True):
+            out[n].append(x)
+
     for kind in (0, 1):
         own = table.filter(pa.compute.equal(table.column("kind"), kind))
         if not own.num_rows:
             continue
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("keys")]
-        counts = [np.frombuffer(x.as_buffer(), "<i8") for x in own.column("counts")]
-        counts = [c if len(c) else np.zeros(len(k), np.int64) for k, c in zip(keys, counts, strict=True)]
-        distinct_keys, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(distinct_keys), np.int64)
+        keys = [expand_keys(x.as_py()) for x in own.column("keys")]
+        counts = [expand(x.as_py(), "<i8") if x.is_valid else np.zeros(len(k), np.int64) for k, x in zip(keys, own.column("counts"), strict=True)]
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
         np.add.at(total, which, np.concatenate(counts))
-        ends = np.cumsum([len(k) for k in keys])
-        for chunk, k, end in zip(own.column("chunk").to_pylist(), keys, ends, strict=True):
-            chunks.append(chunk)
-            answers.append(total[which[end - len(k) : end]].astype("<i8").tobytes())
-            distinct.append(None)
-            tokens.append(None)
-        chunks.append(-1)
-        answers.append(None)
-        distinct.append(int((total > 0).sum()))
-        tokens.append(int(total.sum()))
-        kinds += [kind] * (own.num_rows + 1)
-    n = len(chunks)
-    return pa.table({"chunk": pa.array(chunks, pa.int64()), "part": pa.array([part] * n, pa.int32()), "kind": pa.array(kinds, pa.int32()), "answers": pa.array(answers, pa.binary()), "known": pa.array(distinct, pa.int64()), "total": pa.array(tokens, pa.int64())})
-
-
-ANSWERS = "chunk bigint, part int, kind int, answers binary, known bigint, total bigint"
+        for chunk, k, end in zip(own.column("chunk").to_pylist(), keys, np.cumsum([len(k) for k in keys]), strict=True):
+            add(chunk, part, kind, squeeze(total[which[end - len(k) : end]]), None, None)
+        add(-1, part, kind, None, int((total > 0).sum()), int(total.sum()))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-class Resolved:
+class Resolved(Tokens):
     """A chunk's tokens with the training counts of the word, of the word before it, and of the pair."""
 
     def __init__(self, tokens: pa.Table, answers: pa.Table):
-        row = tokens.to_pylist()[0]
-        self.ids, self.lengths = row["doc_ids"], np.array(row["lengths"], np.int64)
-        words, stream = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["stream"], "<u4").astype(np.int64)
+        super().__init__(tokens.to_pylist()[0])
         by: dict[int, list[tuple[int, bytes]]] = {0: [], 1: []}
         for part, kind, answer in zip(*(answers.column(c).to_pylist() for c in ("part", "kind", "answers")), strict=True):
             by[kind].append((part, answer))
-        counts = [np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(a, "<i8") for _, a in sorted(by[k]))]) for k in (0, 1)]
-        pairs, before = _pairs(words, stream, self.lengths)
-        _, which = np.unique(pairs, return_inverse=True)
-        self.word, self.context, self.pair = counts[0][stream], counts[0][before], counts[1][which]
+        counts = [np.concatenate([np.zeros(0, np.int64), *(expand(a, "<i8") for _, a in sorted(by[k]))]) for k in (0, 1)]
+        _, which = np.unique(self.pairs, return_inverse=True)
+        self.word, self.context, self.pair = counts[0][self.stream], counts[0][self.before], counts[1][which]
 
 
 def context_class(count: np.ndarray) -> np.ndarray:
@@ -234,12 +275,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = 1 << (4 * partitions(spark) - 1).bit_length()
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(_chunks(parts), ROWS)
-    rows = spool(rows, "chunks")
-    asked = rows.where("part IS NOT NULL").select("chunk", "part", "kind", "keys", "counts")
+    tokens = spool(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(_chunks, CHUNKS), "chunks", "uncompressed")
+    asked = tokens.mapInArrow(_questions(parts), QUESTIONS)
     answers = spool(asked.groupBy("part").applyInArrow(_add_up, ANSWERS), "answers")
     known, total = answers.where("chunk = -1 AND kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    tokens = rows.where("part IS NULL").select("chunk", "held", "keys", "doc_ids", "lengths", "stream")
     answers = answers.where("chunk >= 0").select("chunk", "part", "kind", "answers")
 
     held = tokens.where("held")

@@ -227,14 +227,14 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Data
     """
     kept = near_duplicates(docs, shingle_words, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
     kept = spool(kept.groupBy("kept_id").agg(F.count(F.lit(1)).alias("kept_rows")), "kept")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"])
-    out = rows.where("kept_rows = 1").select(*columns).unionByName(docs.where("doc_id IS NULL"))
-    if kept.where("kept_rows > 1").isEmpty():
-        return out
-    again = rows.where("kept_rows > 1").withColumn("text_hash", F.xxhash64("text"))
-    least = again.groupBy(F.col("kept_id").alias("i")).agg(F.min("text_hash").alias("h"))
-    return out.unionByName(again.join(least, (F.col("kept_id") == F.col("i")) & (F.col("text_hash") == F.col("h"))).select(*columns).dropDuplicates())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    rows = whole.join(kept, F.col("doc_id") == F.col("kept_id"))
+    out = rows.where("kept_rows = 1").select("row").unionByName(whole.where("doc_id IS NULL").select("row"))
+    if not kept.where("kept_rows > 1").isEmpty():
+        again = rows.where("kept_rows > 1")
+        least = again.groupBy(F.col("kept_id").alias("i")).agg(F.min("text_hash").alias("h"))
+        out = out.unionByName(again.join(least, (F.col("kept_id") == F.col("i")) & (F.col("text_hash") == F.col("h"))).groupBy("kept_id").agg(F.any_value("row").alias("row")).select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _best(pairs: DataFrame, sketch: DataFrame, near: float) -> DataFrame:
