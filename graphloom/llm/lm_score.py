@@ -47,7 +47,7 @@ _CODEC = pa.Codec("zstd", compression_level=1)
 
 def squeeze(values: np.ndarray) -> bytes:
     """Integers, compressed byte plane by byte plane: the high bytes are as good as all alike."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return len(values).to_bytes(8, "little") + (_CODEC.compress(planes.tobytes(), asbytes=True) if len(values) else b"")
 
 

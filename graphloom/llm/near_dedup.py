@@ -79,7 +79,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return h.T.view(np.int64)
 
 
-SKETCH = "doc_id bigint, class bigint, n bigint, sketch array<bigint>, bands array<bigint>"
+SKETCH = "doc_id bigint, text_hash bigint, class bigint, n bigint, sketch array<bigint>, bands array<bigint>"
 
 
 def _class_ids(sizes: np.ndarray, sets: np.ndarray) -> np.ndarray:
@@ -95,20 +95,19 @@ def _lists(values: np.ndarray) -> pa.Array:
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for i, sizes, sets in shingle_sets(batch.column(1), n):
-                own, some = ids.slice(i, len(sizes)), sizes > 0
+                own, some = [batch.column(k).slice(i, len(sizes)) for k in (0, 2)], sizes > 0
                 classes, minima = np.zeros(len(sizes), np.int64), np.zeros((PERMUTATIONS, 0), np.uint32)
                 if some.any():
                     classes[some] = _class_ids(sizes[some], sets)
                     minima = signatures(sizes[some], sets)
                 at = np.flatnonzero(some)
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(at)), pa.array(classes[at]), pa.array(sizes[at]), _lists(pack(minima)), _lists(band_keys(minima))], names=["doc_id", "class", "n", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at)) for x in own), pa.array(classes[at]), pa.array(sizes[at]), _lists(pack(minima)), _lists(band_keys(minima))], names=["doc_id", "text_hash", "class", "n", "sketch", "bands"])
                 empty = pa.array(np.flatnonzero(~some))
                 if len(empty):
                     none = pa.nulls(len(empty), pa.int64())
                     lists = pa.nulls(len(empty), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([own.take(empty), none, pa.array(np.zeros(len(empty), np.int64)), lists, lists], names=["doc_id", "class", "n", "sketch", "bands"])
+                    yield pa.RecordBatch.from_arrays([*(x.take(empty) for x in own), none, pa.array(np.zeros(len(empty), np.int64)), lists, lists], names=["doc_id", "text_hash", "class", "n", "sketch", "bands"])
 
     return run
 
@@ -168,7 +167,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     kept.  A row without doc_id takes part, and counts as the last of its component: component_id is null only where no row has an id,
     and kept then; elsewhere such a row isn't kept.  Rows repeated with an id all say kept if it is the component's.  Other columns are ignored.
     """
-    text = docs.select("doc_id", "text")
+    return _near(docs, shingle_words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _near(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """near_duplicates with each row's text_hash and the class that stands for its component."""
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = spool(text.mapInArrow(_sketch(shingle_words), SKETCH), "sketches")
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     classes = spool(classes, "classes")
@@ -184,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     # sets of the classes that may be confirmed; text moves once, for them only
     wanted = classes.join(members.select("class").distinct(), "class", "left_semi").select(F.col("doc_id").alias("id")).distinct()
-    source = text.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").unionByName(text.where("doc_id IS NULL"))
+    source = text.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").unionByName(text.where("doc_id IS NULL")).select("doc_id", "text")
     sets = source.mapInArrow(_sets(shingle_words), "class bigint, shingles array<bigint>")
     sets = spool(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
 
@@ -214,26 +218,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     named = classes.select("class", "doc_id").join(found, "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     named = spool(named, "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    named = spool(named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id"), "components")
-    out = rows.select("doc_id", "n", "class").join(named, F.col("class") == F.col("c"), "left")
+    named = spool(named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "root", "component_id"), "components")
+    out = rows.select("doc_id", "text_hash", "n", "class").join(named, F.col("class") == F.col("c"), "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "root")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, whatever their columns, that near_duplicates keeps; of rows that repeat a kept doc_id the one with the least text hash.
+    """One row of docs, whatever their columns, for each component: one that near_duplicates keeps, with the least text hash if rows repeat its id.
 
-    Rows without doc_id are kept.
+    Rows without doc_id are kept.  Rows that repeat an id and an empty text are one.
     """
-    kept = near_duplicates(docs, shingle_words, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
-    kept = spool(kept.groupBy("kept_id").agg(F.count(F.lit(1)).alias("kept_rows")), "kept")
+    kept = _near(docs, shingle_words, percent).where("kept AND doc_id IS NOT NULL")
+    kept = kept.groupBy(F.col("doc_id").alias("kept_id"), "root").agg(F.min("text_hash").alias("kept_hash"), F.count(F.lit(1)).alias("kept_rows"))
+    kept = spool(kept, "kept")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    rows = whole.join(kept, F.col("doc_id") == F.col("kept_id"))
+    rows = whole.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")))
     out = rows.where("kept_rows = 1").select("row").unionByName(whole.where("doc_id IS NULL").select("row"))
     if not kept.where("kept_rows > 1").isEmpty():
-        again = rows.where("kept_rows > 1")
-        least = again.groupBy(F.col("kept_id").alias("i")).agg(F.min("text_hash").alias("h"))
-        out = out.unionByName(again.join(least, (F.col("kept_id") == F.col("i")) & (F.col("text_hash") == F.col("h"))).groupBy("kept_id").agg(F.any_value("row").alias("row")).select("row"))
+        out = out.unionByName(rows.where("kept_rows > 1").groupBy("kept_id", "root").agg(F.any_value("row").alias("row")).select("row"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
