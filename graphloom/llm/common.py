@@ -155,25 +155,34 @@ def word_batches(texts: pa.Array, breaks: np.ndarray = SPACES) -> Iterator[tuple
 # --- graphs ---------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Of undirected edges (a, b), b and a bigint: (node, root), root the least node that can be reached.
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Of undirected edges (a, b), a and b bigint: (node, root), root the least node that can be reached.
 
-    Every round maps a node to its least neighbour's least neighbour and contracts; ids only fall, so the last one is the least.
-    A node without edges, or with null in an edge, has no row.
+    Every round maps a node to its least neighbour's least neighbour and contracts; ids only fall, so the last one is the least.  known: what an
+    earlier call found, to which these edges are added.  A node without edges, or with null in an edge, has no row.
     """
-    edges = spool(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    found: DataFrame | None = None
+    edges = edges.where("a <> b").select("a", "b")
+    if known is not None:
+        edges = _contracted(edges, known)
+    edges, found = spool(edges.distinct(), "edges"), known
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
         least = spool(least, "least")
         up = least.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        least = spool(least.join(up, "root").select("node", F.col("above").alias("root")), "jump")
-        l, r = least.select(F.col("node").alias("a"), F.col("root").alias("ra")), least.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = spool(edges.join(l, "a").join(r, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "edges")
+        step = least.join(up, "root").select("node", F.col("above").alias("root"))
         if found is None:
-            found = least
+            found = step = spool(step, "found")
         else:
-            step = least.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            found = spool(found.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "found")
+            above = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            moved = found.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+            fresh = step.join(found.select("node"), "node", "left_anti") if known is not None else step.where("false")
+            found = spool(moved.unionByName(fresh), "found")
+        edges = spool(_contracted(edges, step).distinct(), "edges")
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _contracted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges between the roots of their ends."""
+    l, r = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return edges.join(l, "a", "left").join(r, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")

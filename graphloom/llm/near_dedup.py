@@ -18,12 +18,14 @@ PERMUTATIONS = BANDS * ROWS
 BITS = 2
 #: A candidate's estimate must come to the threshold less this: 4.7 standard deviations at 128 minima of 2 bits.
 MARGIN = 0.2
+#: The same for pairs between components: 2,048 minima, again 4.7 standard deviations.
+WIDE, WIDE_MARGIN = 2048, 0.05
 #: So often, members outside a bucket's largest component try the best of so many of its members before all pairs between components are looked at.
-TURNS, TRIED = 3, 4
+TURNS, TRIED = 1, 4
 
 _rng = np.random.default_rng(64)
-_A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+_A = _rng.integers(0, 1 << 31, PERMUTATIONS + WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, PERMUTATIONS + WIDE, dtype=np.uint32)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -49,19 +51,19 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.
         yield i, np.array([len(s) for s in sets], np.int64), np.concatenate(sets) if sets else h[:0]
 
 
-def signatures(sizes: np.ndarray, sets: np.ndarray) -> np.ndarray:
+def signatures(sizes: np.ndarray, sets: np.ndarray, low_k: int = 0, high_k: int = PERMUTATIONS) -> np.ndarray:
     """Minima (one row each permutation) of nonempty sets that lie one behind the other."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     low = (sets >> np.uint64(32)).astype(np.uint32) ^ sets.astype(np.uint32)
-    out = np.empty((PERMUTATIONS, len(sizes)), np.uint32)
+    out = np.empty((high_k - low_k, len(sizes)), np.uint32)
     v, t = np.empty_like(low), np.empty_like(low)
-    for k in range(PERMUTATIONS):
+    for k in range(low_k, high_k):
         np.bitwise_xor(low, _B[k], out=v)
         np.multiply(v, _A[k], out=v)
         np.right_shift(v, np.uint32(15), out=t)
         np.bitwise_xor(v, t, out=v)
         np.multiply(v, np.uint32(0x2C1B3C6D), out=v)
-        np.minimum.reduceat(v, starts, out=out[k])
+        np.minimum.reduceat(v, starts, out=out[k - low_k])
     return out
 
 
@@ -131,9 +133,18 @@ def _sets(n: int):
     return run
 
 
-def estimate(a: Column, b: Column) -> Column:
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            part = batch.slice(low, 500)
+            lists = part.column(1)
+            sizes = np.asarray(lists.value_lengths())
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(pack(signatures(sizes, np.asarray(lists.flatten()).view(np.uint64), PERMUTATIONS, PERMUTATIONS + WIDE)))], names=["class", "wide"])
+
+
+def estimate(a: Column, b: Column, minima: int = PERMUTATIONS) -> Column:
     """Similarity of two packed sketches: the share of minima whose kept bits all agree, less what chance alone makes agree."""
-    words = PERMUTATIONS // 64
+    words = minima // 64
     differ = None
     for w in range(words):
         planes = None
@@ -142,7 +153,7 @@ def estimate(a: Column, b: Column) -> Column:
             planes = x if planes is None else planes.bitwiseOR(x)
         differ = F.bit_count(planes) if differ is None else differ + F.bit_count(planes)
     chance = 0.5**BITS
-    return ((1 - differ / PERMUTATIONS) - chance) / (1 - chance)
+    return ((1 - differ / minima) - chance) / (1 - chance)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,8 +171,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     Rows of one shingle set are one class.  Classes that share a band of minima meet in a bucket.  First every member is held against one
     of each bucket, and of those candidates the one with the best estimate is confirmed on the full sets: pairs in proportion to rows.  The
     links give components; a bucket within one component can add none.  In the others, members outside the largest component try a few of
-    its members, a few times over; what is left of them is then held against all members of other components, so that no link between
-    components is lost and a large group is never paired with itself.  Estimates only leave out pairs that are MARGIN below the threshold.
+    its members; what is left of them is then held against all members of other components, by estimates from more minima, so that no link between components
+    is lost and a large group is never paired with itself.  Estimates only leave out pairs that are MARGIN or WIDE_MARGIN below the threshold.
 
     component_id is the smallest doc_id that links lead to.  A null or empty text has no shingles and no links, and is
     kept.  A row without doc_id takes part, and counts as the last of its component: component_id is null only where no row has an id,
@@ -192,28 +203,27 @@ def _near(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     sets = source.mapInArrow(_sets(shingle_words), "class bigint, shingles array<bigint>")
     sets = spool(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
 
-    links = spool(_confirm(best, sets, percent), "links")
-    found, at = components(links), members.select("bucket", "band", "class")
+    found, at = components(_confirm(best, sets, percent)), members.select("bucket", "band", "class")
     for turn in range(TURNS):
-        at = _between(at, found)
+        at = spool(_between(at, found), "between")
         if at.isEmpty():
             break
         largest = at.where("label = largest").groupBy(F.col("bucket").alias("k")).agg(*[F.min_by("class", F.xxhash64("class", "bucket", F.lit(TRIED * turn + i + 1))).alias(f"m{i}") for i in range(TRIED)])
         others = at.where("label <> largest").select("bucket", F.col("class").alias("a"))
         tried = others.join(spool(largest, "largest"), F.col("bucket") == F.col("k")).select("a", F.explode(F.array_distinct(F.array(*[f"m{i}" for i in range(TRIED)]))).alias("b"))
-        links = spool(links.unionByName(_confirm(_best(tried, sketch, near), sets, percent)), "links")
-        found = components(links)
+        found = components(_confirm(_best(tried, sketch, near), sets, percent), found)
     at = _between(at, found)
-    at = spool(at.join(classes.select("class", "sketch", "bands"), "class"), "between_sketches")
-    a = at.where("label <> largest").select("bucket", "band", F.col("class").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("ka"), F.col("bands").alias("da"))
-    b = at.select(F.col("bucket").alias("bk"), F.col("class").alias("b"), F.col("label").alias("lb"), F.col("largest").alias("gb"), F.col("sketch").alias("kb"), F.col("bands").alias("db"))
+    # closer estimates for those that are left: more minima, for few classes
+    wide = sets.join(at.select("class").distinct(), "class", "left_semi").select("class", "shingles").mapInArrow(_wide, "class bigint, wide array<bigint>")
+    at = at.join(spool(wide, "wide"), "class").join(classes.select("class", "bands"), "class")
+    a = at.where("label <> largest").select("bucket", "band", F.col("class").alias("a"), F.col("label").alias("la"), F.col("wide").alias("wa"), F.col("bands").alias("da"))
+    b = at.select(F.col("bucket").alias("bk"), F.col("class").alias("b"), F.col("label").alias("lb"), F.col("largest").alias("gb"), F.col("wide").alias("wb"), F.col("bands").alias("db"))
     # a pair that meets in several buckets counts in the first, and once where neither is in the largest component
     first = F.array_position(F.zip_with("da", "db", lambda x, y: x == y), True) == F.col("band") + 1
     once = (F.col("lb") == F.col("gb")) | (F.col("a") < F.col("b"))
-    cross = a.join(b, (F.col("bucket") == F.col("bk")) & (F.col("la") != F.col("lb")) & once & (estimate(F.col("ka"), F.col("kb")) >= near) & first)
-    cross = spool(cross.select("a", "b"), "cross")
-    links = links.unionByName(_confirm(cross, sets, percent))
-    found = components(links).select(F.col("node").alias("class"), "root")
+    close = estimate(F.col("wa"), F.col("wb"), WIDE) >= percent / 100 - WIDE_MARGIN
+    cross = spool(a.join(b, (F.col("bucket") == F.col("bk")) & (F.col("la") != F.col("lb")) & once & close & first).select("a", "b"), "cross")
+    found = components(_confirm(cross, sets, percent), found).select(F.col("node").alias("class"), "root")
 
     named = classes.select("class", "doc_id").join(found, "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     named = spool(named, "named")
@@ -254,4 +264,4 @@ def _between(at: DataFrame, found: DataFrame) -> DataFrame:
     parts = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     parts = spool(parts.select("k", F.col("most.label").alias("largest")), "parts")
-    return spool(label.join(parts, F.col("bucket") == F.col("k")).select("bucket", "band", "class", "label", "largest"), "between")
+    return label.join(parts, F.col("bucket") == F.col("k")).select("bucket", "band", "class", "label", "largest")
