@@ -43,6 +43,8 @@ for _name, _letters in ENCODINGS.items():
 FIT = 0.01
 #: Of the spans added, at most this share should be ordinary text.
 DISCOVERY = 0.01
+#: Where an encoding shows no ordinary text: how often two of its letters agree in a run, and the letters that this counts as.
+TEXT, PRIOR = 0.04, 1_000
 
 
 def _tail(z: float) -> float:
@@ -142,9 +144,12 @@ def secret_spans(docs: DataFrame, fit: float = FIT, discovery: float = DISCOVERY
     rows = spool(rows.select("*", F.monotonically_increasing_id().alias("row")), "scanned")
     tested = rows.select(F.explode("runs").alias("r")).select("r.*")
     letters = F.create_map(*[F.lit(x) for name, a in ENCODINGS.items() for x in (name, len(a))])
-    # one row an encoding: the letters' agreement in ordinary text, that is in runs which aren't random
-    text = tested.groupBy("encoding").agg((F.sum(F.when(F.col("p") < fit, F.col("same") * F.col("n"))) / F.sum(F.when(F.col("p") < fit, F.col("n")))).alias("agree"))
-    text = spool(text.select(F.col("encoding").alias("e"), F.coalesce("agree", 2 / letters[F.col("encoding")]).alias("agree")), "agreement")
+    # one row an encoding: the letters' agreement in ordinary text, that is in runs which aren't random; as if each encoding had PRIOR letters
+    # of text that agree as often as in prose, or twice as often as random ones, and just so where no more runs fail than random ones would
+    text = tested.select("encoding", "same", "n", (F.col("p") < fit).cast("int").alias("fails")).groupBy("encoding").agg(F.sum(F.col("fails") * F.col("same") * F.col("n")).alias("same"), F.sum(F.col("fails") * F.col("n")).alias("n"), F.sum("fails").alias("failed"), F.count(F.lit(1)).alias("runs"))
+    twice = F.greatest(2 / letters[F.col("encoding")], F.lit(TEXT))
+    agree = F.when(F.col("failed") > 10 + 3 * fit / (1 - fit) * (F.col("runs") - F.col("failed")), (F.col("same") + PRIOR * twice) / (F.col("n") + PRIOR)).otherwise(twice)
+    text = spool(text.select(F.col("encoding").alias("e"), agree.alias("agree")), "agreement")
     each = rows.select("row", F.explode("runs").alias("r")).select("row", "r.*").join(text, F.col("encoding") == F.col("e"))
     a = letters[F.col("encoding")].cast("double")
     excess = F.greatest(F.lit(0.0), a * F.col("agree") - 1) * (F.col("n") - 1)
