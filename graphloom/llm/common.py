@@ -63,7 +63,7 @@ _POW, _INV = np.ones(1, np.uint64), np.ones(1, np.uint64)
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) < n:
-        _POW, _INV = _powers(_P, max(n, 2 * _STEP)), _powers(pow(_P, -1, 1 << 64), max(n, 2 * _STEP))
+        _POW, _INV = _powers(_P, max(n, _STEP)), _powers(pow(_P, -1, 1 << 64), max(n, _STEP))
     return _POW, _INV
 
 

@@ -23,7 +23,7 @@ END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 #: So many pieces of text keep their ids; then the store starts anew.
-_KEPT = 1_000_000
+_KEPT = 1_500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
