@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, MARKS, hash_spans, hash_words, mix, raw_text, slices, spool
 
 #: Labelled documents that are fitted on, at most: those with the least hashes of doc_id.
-SAMPLE = 8_000
+SAMPLE = 3_000
 #: Beginnings of words that are features beside whole words, in bytes.
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (5, 6, 7)
 #: Features that a model weighs, and the fewest fitted documents that hold each.
 WORDS, HELD_BY = 400, 3
 FOLDS = 4
@@ -51,12 +51,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Samples:
     """Documents as a sparse matrix: ln(1 + count) of each feature."""
 
-    def __init__(self, words: list[list[int]], counts: list[list[int]]):
-        self.rows = len(words)
-        flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(w, np.int64) for w in words)]).view(np.uint64)
-        self.words, self.column = np.unique(flat, return_inverse=True)
-        self.row = np.repeat(np.arange(self.rows), [len(w) for w in words])
-        self.value = np.log1p(np.concatenate([np.zeros(0), *(np.asarray(c, float) for c in counts)]))
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        """sizes: features of each document; words and counts: theirs, one document behind the other."""
+        self.rows = len(sizes)
+        self.words, self.column = np.unique(words, return_inverse=True)
+        self.row = np.repeat(np.arange(self.rows), sizes)
+        self.value = np.log1p(counts.astype(float))
 
     def dense(self, words: np.ndarray) -> np.ndarray:
         at = np.full(len(self.words) + 1, -1)
@@ -170,9 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
     own = spool(own.orderBy(F.xxhash64("labelled"), "labelled").limit(sample), "labelled")
     texts = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("labelled")).drop("labelled")
     found = texts.mapInArrow(_counted, "doc_id bigint, words array<bigint>, counts array<bigint>, " + ", ".join(f"y{k} int" for k in range(len(categories))))
-    rows = found.orderBy("doc_id").limit(2 * sample).collect()  # a bounded sample
-    y = np.array([[r[f"y{k}"] for k in range(len(categories))] for r in rows]).reshape(len(rows), len(categories))
-    return Chain(Samples([r["words"] for r in rows], [r["counts"] for r in rows]), y, np.array([r["doc_id"] for r in rows], np.int64))
+    rows = found.orderBy("doc_id").limit(2 * sample).toArrow()  # a bounded sample
+    own = {n: rows.column(n).combine_chunks() for n in rows.column_names}
+    y = np.column_stack([np.asarray(own[f"y{k}"]) for k in range(len(categories))])
+    flat = [np.asarray(own[n].flatten()) for n in ("words", "counts")]
+    return Chain(Samples(np.asarray(own["words"].value_lengths()), flat[0].view(np.uint64), flat[1]), y, np.asarray(own["doc_id"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("toxic",), sample: int = SAMPLE) -> DataFrame:

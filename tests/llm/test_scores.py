@@ -148,7 +148,8 @@ def test_toxicity_chain_feeds_on(make_docs):
     """A category that only depends on an earlier one is learned through its probability."""
     words = [np.unique(np.array([1, 2 + i % 2, 100 + i], np.uint64)) for i in range(400)]
     y = np.array([[i % 2, i % 2] for i in range(400)])
-    chain = T.Chain(T.Samples(words, [np.ones(len(w)) for w in words]), y, np.arange(400))
+    flat = np.concatenate(words)
+    chain = T.Chain(T.Samples(np.array([len(w) for w in words]), flat, np.ones(len(flat))), y, np.arange(400))
     assert len(chain.models[1][2]) == 1 and chain.models[1][2][0] > 0
     assert ((chain.held[:, 1] > 0) == (y[:, 1] == 1)).all()
 
