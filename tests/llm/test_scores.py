@@ -130,7 +130,7 @@ def toxic_rows():
         for _ in range(2 if toxic else 0):
             words[r.randrange(len(words))] = r.choice(["Snarg,", "blorp", "FLEEB!"])
         if toxic and i % 16 == 0:
-            words += ["zonk" + w for w in words[:4]]
+            words += ["zonkig" + w for w in words[:4]]
         out.append((i, " ".join(words), "a", int(toxic), int(i % 16 == 0)))
     return out
 
