@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ from .common import spool
 ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
-#: What the tests look at: unbroken runs of the letters of the encodings below.
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+#: What the tests look at: unbroken runs of the letters of the encodings below, with the padding that ends them; a '=' before more letters cuts.
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: The parts of a run that isn't random as a whole: its longest stretches in the letters of base64, base64url and base62.
+STRETCHES = (re.compile(rb"[A-Za-z0-9+/]{16,}=*"), re.compile(rb"[A-Za-z0-9_-]{16,}=*"), re.compile(rb"[A-Za-z0-9]{16,}=*"))
 
 #: Encodings in the order in which they are tried: the first whose alphabet has every character (padding aside) is inferred.
 ENCODINGS = {
@@ -89,6 +92,50 @@ def battery(run: bytes) -> tuple[str, int, float, float, float] | None:
     return name, n, p, z_chi, same
 
 
+def _evidence(tested: tuple[str, int, float, float, float]) -> float:
+    """How many deviates a run is more uniform than ordinary text of its length, as a negative number."""
+    name, n, _, z, _ = tested
+    a = len(ENCODINGS[name])
+    excess = max(0.0, a * max(2 / a, TEXT) - 1) * (n - 1)
+    return (z - excess / math.sqrt(2 * (a - 1))) / math.sqrt(1 + 2 * excess / (a - 1))
+
+
+def run_tests(text: bytes, spans: list[tuple[int, int, str]], fit: float = FIT) -> list[tuple[int, int, tuple[str, int, float, float, float], bool]]:
+    """(start, end, battery's result, chosen) of what is tested in a text, by start, apart from spans.
+
+    A run is tested as a whole; if no encoding fits it, it isn't random or it meets a span, its stretches are as well.  Chosen are tested parts that
+    don't overlap: random ones first, the most uniform before others, then the longest.
+    """
+    starts = [s for s, _, _ in spans]
+    reach = np.maximum.accumulate([e for _, e, _ in spans]) if spans else None
+
+    def free(s: int, e: int) -> bool:
+        i = bisect_left(starts, e)
+        return not i or reach[i - 1] <= s
+
+    out = []
+    for m in CANDIDATE.finditer(text):
+        found = {}
+        if free(m.start(), m.end()) and (b := battery(m[0])):
+            found[m.start(), m.end()] = b
+            if b[2] >= fit:
+                out.append((m.start(), m.end(), b, True))
+                continue
+        for stretch in STRETCHES:
+            for part in stretch.finditer(m[0]):
+                s, e = m.start() + part.start(), m.start() + part.end()
+                if (s, e) not in found and free(s, e) and (b := battery(part[0])):
+                    found[s, e] = b
+        taken, chosen = [], set()
+        for (s, e), b in sorted(found.items(), key=lambda x: (x[1][2] < fit, _evidence(x[1]) if x[1][2] >= fit else -x[1][1], x[0])):
+            i = bisect_left(taken, (e,))
+            if not i or taken[i - 1][1] <= s:
+                taken.insert(i, (s, e))
+                chosen.add((s, e))
+        out += [(*at, b, at in chosen) for at, b in sorted(found.items())]
+    return out
+
+
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes, by start, then assign, access, hex."""
     low = text.lower()
@@ -98,7 +145,7 @@ def base_spans(text: bytes) -> list[tuple[int, int, str]]:
     return [(s, e, kind) for s, _, e, kind in sorted(spans)]
 
 
-SCANNED = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base string, runs array<struct<start:bigint,end:bigint,encoding:string,n:int,p:double,z:double,same:double>>"
+SCANNED = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base string, runs array<struct<start:bigint,end:bigint,encoding:string,n:int,p:double,z:double,same:double,chosen:boolean>>"
 
 
 def _points(text: bytes, offsets: list[int]) -> dict[int, int]:
@@ -110,18 +157,18 @@ def _points(text: bytes, offsets: list[int]) -> dict[int, int]:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("n", pa.int32()), ("p", pa.float64()), ("z", pa.float64()), ("same", pa.float64())])
+def _scan(batches: Iterator[pa.RecordBatch], fit: float = FIT) -> Iterator[pa.RecordBatch]:
+    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("n", pa.int32()), ("p", pa.float64()), ("z", pa.float64()), ("same", pa.float64()), ("chosen", pa.bool_())])
     for batch in batches:
         counts, bases, runs = [], [], []
         for text in batch.column(1):
             body = text.as_buffer().to_pybytes() if text.is_valid else b""
             spans = base_spans(body)
-            tested = [(m.start(), m.end(), b) for m in CANDIDATE.finditer(body) if (b := battery(m[0])) and not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+            tested = run_tests(body, spans, fit)
             at = _points(body, [x for s in (*spans, *tested) for x in s[:2]]) if spans or tested else {}
             counts.append([sum(k == name for _, _, k in spans) for name in ("assign", "access", "hex")])
             bases.append(",".join(f"{k}:{at[s]}:{at[e]}" for s, e, k in spans))
-            runs.append([(at[s], at[e], *b) for s, e, b in tested])
+            runs.append([(at[s], at[e], *b, chosen) for s, e, b, chosen in tested])
         n = np.array(counts, np.int64).reshape(-1, 3)
         names = kind.names
         rows = pa.array([[dict(zip(names, r, strict=True)) for r in x] for x in runs], pa.list_(kind))
@@ -131,8 +178,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secret_spans(docs: DataFrame, fit: float = FIT, discovery: float = DISCOVERY) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of docs(doc_id, text).
 
-    Base spans are the patterns' matches.  Beside them every run of 16 or more encoding characters is tested: one that the battery holds to
-    be random at level fit is a candidate.  How likely ordinary text of that length is to look as uniform comes from the corpus itself: per
+    Base spans are the patterns' matches.  Beside them every run of 16 or more encoding characters is tested, and the stretches
+    of one that isn't random as a whole (a path, say, that has a key in it): what the battery holds to be random at level fit is a candidate, of parts that
+    overlap only the most uniform.  How likely ordinary text of that length is to look as uniform comes from the corpus itself: per
     encoding, the mean chance that two letters of a run agree shifts its chi-squared in proportion to length, so a short run can't be
     significant and a long one can.  These p-values are held to the discovery rate by the Benjamini-Hochberg rule over all runs
     tested, on a histogram of 1/16 steps of log2 p, summed over all documents.
@@ -140,13 +188,13 @@ def secret_spans(docs: DataFrame, fit: float = FIT, discovery: float = DISCOVERY
     spans are kind:start:end in code points, end exclusive, comma-joined by start; kinds assign, access, hex, then random.
     A null text is empty.  Repeated rows get a row each; columns beyond doc_id and text are ignored.
     """
-    rows = docs.select("doc_id", "text").mapInArrow(_scan, SCANNED)
+    rows = docs.select("doc_id", "text").mapInArrow(lambda batches: _scan(batches, fit), SCANNED)
     rows = spool(rows.select("*", F.monotonically_increasing_id().alias("row")), "scanned")
     tested = rows.select(F.explode("runs").alias("r")).select("r.*")
     letters = F.create_map(*[F.lit(x) for name, a in ENCODINGS.items() for x in (name, len(a))])
     # one row an encoding: the letters' agreement in ordinary text, that is in runs which aren't random; as if each encoding had PRIOR letters
     # of text that agree as often as in prose, or twice as often as random ones, and just so where no more runs fail than random ones would
-    text = tested.select("encoding", "same", "n", (F.col("p") < fit).cast("int").alias("fails")).groupBy("encoding").agg(F.sum(F.col("fails") * F.col("same") * F.col("n")).alias("same"), F.sum(F.col("fails") * F.col("n")).alias("n"), F.sum("fails").alias("failed"), F.count(F.lit(1)).alias("runs"))
+    text = tested.where("chosen").select("encoding", "same", "n", (F.col("p") < fit).cast("int").alias("fails")).groupBy("encoding").agg(F.sum(F.col("fails") * F.col("same") * F.col("n")).alias("same"), F.sum(F.col("fails") * F.col("n")).alias("n"), F.sum("fails").alias("failed"), F.count(F.lit(1)).alias("runs"))
     twice = F.greatest(2 / letters[F.col("encoding")], F.lit(TEXT))
     agree = F.when(F.col("failed") > 10 + 3 * fit / (1 - fit) * (F.col("runs") - F.col("failed")), (F.col("same") + PRIOR * twice) / (F.col("n") + PRIOR)).otherwise(twice)
     text = spool(text.select(F.col("encoding").alias("e"), agree.alias("agree")), "agreement")
@@ -157,13 +205,13 @@ def secret_spans(docs: DataFrame, fit: float = FIT, discovery: float = DISCOVERY
     # log2 of the chance that text gives a deviate of z or less, by the normal tail
     t = (F.col("z") - mean) / spread
     log2p = F.when(t > 0, 0.0).otherwise(-(t * t) / 2 / math.log(2) - F.log2(F.greatest(F.lit(2.0), -t * math.sqrt(2 * math.pi))))
-    each = spool(each.select("row", "start", "end", "p", F.ceil(F.greatest(log2p, F.lit(-1000.0)) * 16).alias("step")), "tested")
-    steps = each.groupBy("step").agg(F.sum((F.col("p") >= fit).cast("bigint")).alias("fits"), F.count(F.lit(1)).alias("n"))
+    each = spool(each.select("row", "start", "end", ((F.col("p") >= fit) & F.col("chosen")).alias("fits"), F.ceil(F.greatest(log2p, F.lit(-1000.0)) * 16).alias("step")), "tested")
+    steps = each.groupBy("step").agg(F.sum(F.col("fits").cast("bigint")).alias("fits"), F.count(F.lit(1)).alias("n"))
     upto = W.orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
     steps = steps.select("step", F.sum("fits").over(upto).alias("found"), F.sum("n").over(W.partitionBy(F.lit(0))).alias("all"))
     last = steps.where((F.col("found") > 0) & (F.pow(F.lit(2.0), F.col("step") / 16) * F.col("all") <= discovery * F.col("found"))).agg(F.max("step").alias("last"))
     last = last.first()["last"]  # one number
-    added = each.where((F.col("p") >= fit) & (F.col("step") <= F.lit(last).cast("bigint")))
+    added = each.where(F.col("fits") & (F.col("step") <= F.lit(last).cast("bigint")))
     added = added.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "end")).alias("more"))
     known = F.filter(F.split("base", ","), lambda x: x != "")
     part = lambda x, k: F.split(x, ":")[k]

@@ -94,6 +94,37 @@ def test_secrets(make_docs, odd_rows, no_docs):
     assert rows(S.secret_spans(no_docs)) == []
 
 
+def test_secrets_behind_names_and_in_paths(make_docs):
+    """NAME=value without a space, and keys in paths that no single encoding fits."""
+    r = random.Random(16)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    data, at = [], {}
+    for k in range(120):
+        key = ("".join(r.choice(letters) for _ in range(64)), base64.b64encode(r.randbytes(48)).decode(), base64.urlsafe_b64encode(r.randbytes(48)).decode(), base64.b64encode(r.randbytes(49)).decode())[k % 4]
+        before, after = (("export AWS_ACCESS=", " "), ("GH_PAT=", "\n"), ("?a=b&my_sig=", "&c=d"), ("/srv/my_data/x-y_", "_z/last-one/w_w"), ("/srv/my_data/", "/last-one/w_w"))[k % 3 if k % 2 else 3 + (k % 4 == 2 or k % 8 == 0)]
+        text = prose(k, 30) + " é " + before
+        at[k] = (len(text), len(text) + len(key))
+        data.append((k, text + key + after + prose(k + 999, 5), "a"))
+    data += [(300 + k, prose(k, 40) + " /the/of_and/" + "/".join("_-"[j % 2].join(r.choice(WORDS) for _ in range(2)) for j in range(6)) + " NAME_OF=" + "".join(r.choice(WORDS) for _ in range(5)), "a") for k in range(120)]
+    found = {x.doc_id: [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("random")] for x in S.secret_spans(make_docs(data)).collect()}
+    held = [max((min(e, at[k][1]) - max(s, at[k][0]) for s, e in found[k]), default=0) / (at[k][1] - at[k][0]) for k in at]
+    assert sum(h > 0.9 for h in held) >= 100
+    named = [k for k in at if k % 2]
+    assert sum(at[k] in found[k] for k in named) >= 54
+    assert all(a[1] <= b[0] for x in found.values() for a, b in zip(x, x[1:]))
+    assert sum(bool(found[300 + k]) for k in range(120)) <= 2
+
+
+def test_secret_runs():
+    key = b"Zq8Lw2Xv9TbR4nYc7KmJ5hGd3FsP6aEu"
+    spans = lambda text: [text[s:e] for s, e, b, chosen in S.run_tests(text, S.base_spans(text)) if chosen and b[2] >= S.FIT]
+    assert spans(b"SOME_LONG_NAME_OF_IT=" + key + b"==") == [key + b"=="]
+    assert spans(b"a=b=" + key + b"=c") == [key]
+    for text in (b"/the_home/" + key, b"x_y/" + key + b"/", b"/a_b/" + key + b"/c-d"):
+        assert len(spans(text)) == 1 and key in spans(text)[0]
+    assert spans(b"0a" * 16 + b"/" + key) == [key]  # beside a base span
+
+
 # --- urls ---
 
 
