@@ -7,20 +7,23 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, MARKS, hash_spans, hash_words, mix, raw_text, slices, spool
 
 #: Labelled documents that are fitted on, at most: those with the least hashes of doc_id.
-SAMPLE = 3_000
+SAMPLE = 8_000
 #: Beginnings of words that are features beside whole words, in bytes.
-PREFIXES = (5, 6, 7)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Features that a model weighs, and the fewest fitted documents that hold each.
 WORDS, HELD_BY = 400, 3
 #: The least chi-squared of a feature that is weighed: one in 10,000 gets there by chance.
 GAIN = 15.0
 FOLDS = 4
 RIDGE = 1.0
+#: Spark sums ln(1 + count) in whole steps, so many a unit: the same features are chosen in whatever order rows come.
+STEPS = 1 << 16
 
 
 def word_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -38,8 +41,12 @@ def word_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield i, j, np.concatenate(docs), np.concatenate(hashes)
 
 
+def fold_of(ids: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) % np.uint64(folds)).astype(int)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every text: its features' distinct hashes and how often each comes."""
+    """Of every text: its fold, its features' distinct hashes and how often each comes."""
     for batch in batches:
         for i, j, doc, h in word_features(batch.column(1)):
             order = np.argsort(doc, kind="stable")
@@ -47,7 +54,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(x, return_counts=True) for x in np.split(h[order], ends[:-1])]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in sets])]).astype(np.int32))
             words, counts = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in sets]).view(np.int64))) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), words, counts, *(c.slice(i, j - i) for c in batch.columns[2:])], names=["doc_id", "words", "counts", *batch.schema.names[2:]])
+            ids = batch.column(0).slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fold_of(np.asarray(ids)), pa.int32()), words, counts, *(c.slice(i, j - i) for c in batch.columns[2:])], names=["doc_id", "fold", "words", "counts", *batch.schema.names[2:]])
 
 
 class Samples:
@@ -116,8 +124,9 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 class Chain:
     """Fitted models in order: words, their weights, weights of earlier categories' logits, intercept, threshold."""
 
-    def __init__(self, samples: Samples, labels: np.ndarray, ids: np.ndarray, folds: int = FOLDS):
-        fold = (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) % np.uint64(folds)).astype(int)
+    def __init__(self, samples: Samples, labels: np.ndarray, ids: np.ndarray, folds: int = FOLDS, picks: list[list[np.ndarray]] | None = None):
+        """picks: for each category the features of each fold's model and of the whole one, where they were chosen before."""
+        fold = fold_of(ids, folds)
         earlier = np.zeros((samples.rows, 0))
         self.models = []
         for k in range(labels.shape[1]):
@@ -126,12 +135,12 @@ class Chain:
             for f in range(folds):
                 train = fold != f
                 if train.any() and not train.all() and 0 < y[train].sum() < train.sum():
-                    words = samples.pick(train, y)
+                    words = samples.pick(train, y) if picks is None else picks[k][f]
                     x = np.column_stack([samples.dense(words), earlier])
                     w = fit_logistic(x[train], y[train])
                     held[~train] = 1 / (1 + np.exp(-np.clip(x[~train] @ w[:-1] + w[-1], -30, 30)))
             if 0 < y.sum() < len(y):
-                words = samples.pick(np.ones(len(y), bool), y)
+                words = samples.pick(np.ones(len(y), bool), y) if picks is None else picks[k][folds]
                 w = fit_logistic(np.column_stack([samples.dense(words), earlier]), y)
             else:
                 words, w = samples.words[:0], np.zeros(k + 1)
@@ -165,18 +174,81 @@ class Chain:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> Chain:
-    """A chain for the 0/1 columns `categories` of labels(doc_id, ...), fitted on at most `sample` labelled documents."""
+def labelled_features(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> DataFrame:
+    """doc_id, fold, words, counts and y0, y1, ... of at most `sample` labelled documents."""
     known = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in ["doc_id", *categories]))
     own = known.groupBy(F.col("doc_id").alias("labelled")).agg(*[F.max(F.col(c).cast("int")).alias(f"y{k}") for k, c in enumerate(categories)])
     own = spool(own.orderBy(F.xxhash64("labelled"), "labelled").limit(sample), "labelled")
     texts = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("labelled")).drop("labelled")
-    found = texts.mapInArrow(_counted, "doc_id bigint, words array<bigint>, counts array<bigint>, " + ", ".join(f"y{k} int" for k in range(len(categories))))
-    rows = found.orderBy("doc_id").limit(2 * sample).toArrow()  # a bounded sample
-    own = {n: rows.column(n).combine_chunks() for n in rows.column_names}
-    y = np.column_stack([np.asarray(own[f"y{k}"]) for k in range(len(categories))])
+    found = texts.mapInArrow(_counted, "doc_id bigint, fold int, words array<bigint>, counts array<bigint>, " + ", ".join(f"y{k} int" for k in range(len(categories))))
+    found = spool(found, "features")
+    return found if found.count() <= 2 * sample else spool(found.orderBy("doc_id").limit(2 * sample), "features")  # ids that repeat
+
+
+def choose(found: DataFrame, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[list[np.ndarray]]:
+    """For each category, what Samples.pick takes for the model without each fold and for the one of all, from sums by feature and fold.
+
+    found: labelled_features; y and fold: its categories and folds.  The driver gets WORDS features a model, however many there are.
+    """
+    out = [[np.zeros(0, np.uint64) for _ in range(folds + 1)] for _ in range(y.shape[1])]
+    models = []
+    for k in range(y.shape[1]):
+        for f in range(folds + 1):
+            own = y[fold != f, k]
+            if 0 < own.sum() < len(own):
+                models.append((k, f, len(own), float(own.mean())))
+    if not models:
+        return out
+    names = [f"y{k}" for k in range(y.shape[1])]
+    each = found.select("fold", *names, F.explode(F.arrays_zip("words", "counts")).alias("f"))
+    each = each.select("fold", *names, F.col("f.words").alias("word"), F.round(F.log1p("f.counts") * STEPS).cast("bigint").alias("v"))
+    parts = {"n": F.lit(1).cast("bigint"), "s": F.col("v"), "q": F.col("v") * F.col("v"), **{n: F.col("v") * F.col(n) for n in names}}
+    sums = each.groupBy("word").agg(*[F.sum(F.when(F.col("fold") == f, x).otherwise(0)).alias(f"{n}_{f}") for n, x in parts.items() for f in range(folds)])
+
+    def gain(k: int, f: int, n: int, p: float):
+        of = lambda name: sum((F.col(f"{name}_{g}") for g in range(folds) if g != f), F.lit(0)).cast("double")
+        total, squares, hits = of("s") / STEPS, of("q") / STEPS**2, of(f"y{k}") / STEPS
+        spread = F.greatest(squares - total * total / n, F.lit(1e-9))
+        return F.when(of("n") >= HELD_BY, F.pow(hits - total * p, F.lit(2.0)) / (spread * max(p * (1 - p), 1e-9)))
+
+    gains = sums.select("word", F.posexplode(F.array(*[gain(*m) for m in models])).alias("model", "gain")).where(F.col("gain") > GAIN)
+    best = gains.select("*", F.row_number().over(W.partitionBy("model").orderBy(F.desc("gain"), "word")).alias("place")).where(F.col("place") <= WORDS)
+    best = best.select("model", "word").toArrow()  # WORDS features a model
+    model, word = np.asarray(best.column("model").combine_chunks()), np.asarray(best.column("word").combine_chunks()).view(np.uint64)
+    for i, (k, f, *_) in enumerate(models):
+        out[k][f] = np.sort(word[model == i])
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> Chain:
+    """A chain for the 0/1 columns `categories` of labels(doc_id, ...), fitted on at most `sample` labelled documents."""
+    found = labelled_features(docs, labels, categories, sample)
+    names = [f"y{k}" for k in range(len(categories))]
+    rows = found.select("fold", *names).toArrow()  # a bounded sample, as below
+    picks = choose(found, _categories(rows, names), np.asarray(rows.column("fold").combine_chunks()))
+    picked = found.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([x for own in picks for x in own])))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the features that a model weighs."""
+        for batch in batches:
+            words, counts = batch.column(1), batch.column(2)
+            flat = np.asarray(words.flatten()).view(np.uint64)
+            keep = np.isin(flat, picked.value)
+            ends = np.cumsum(np.asarray(words.value_lengths()))
+            offsets = pa.array(np.concatenate([[0], np.concatenate([[0], np.cumsum(keep)])[ends]]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.asarray(x.flatten())[keep])) for x in (words, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *batch.columns[3:]], names=batch.schema.names)
+
+    wanted = found.select("doc_id", "words", "counts", *names)
+    rows = wanted.mapInArrow(narrow, wanted.schema).toArrow().sort_by("doc_id")
+    own = {n: rows.column(n).combine_chunks() for n in ("doc_id", "words", "counts")}
     flat = [np.asarray(own[n].flatten()) for n in ("words", "counts")]
-    return Chain(Samples(np.asarray(own["words"].value_lengths()), flat[0].view(np.uint64), flat[1]), y, np.asarray(own["doc_id"]))
+    samples = Samples(np.asarray(own["words"].value_lengths()), flat[0].view(np.uint64), flat[1])
+    return Chain(samples, _categories(rows, names), np.asarray(own["doc_id"]), picks=picks)
+
+
+def _categories(rows: pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([np.asarray(rows.column(n).combine_chunks()) for n in names])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("toxic",), sample: int = SAMPLE) -> DataFrame:

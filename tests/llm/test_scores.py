@@ -154,6 +154,34 @@ def test_toxicity_chain_feeds_on(make_docs):
     assert ((chain.held[:, 1] > 0) == (y[:, 1] == 1)).all()
 
 
+def test_toxicity_features_chosen_by_spark(spark, make_docs):
+    """Spark's choice for every model is that of the fitted documents' whole matrix."""
+    data = toxic_rows()
+    labels = spark.createDataFrame([(i, a, b) for i, _, _, a, b in data if i % 3], "doc_id long, rude int, very int")
+    found = T.labelled_features(make_docs([x[:3] for x in data]), labels, ("rude", "very"))
+    own = found.orderBy("doc_id").collect()
+    y, fold = np.array([[r.y0, r.y1] for r in own]), np.array([r.fold for r in own])
+    samples = T.Samples(np.array([len(r.words) for r in own]), np.concatenate([r.words for r in own]).astype(np.int64).view(np.uint64), np.concatenate([r.counts for r in own]))
+    assert (fold == T.fold_of(np.array([r.doc_id for r in own]))).all()
+    picks = T.choose(found, y, fold)
+    for k in range(2):
+        for f in range(T.FOLDS + 1):
+            assert len(picks[k][f]) and picks[k][f].tolist() == samples.pick(fold != f, y[:, k].astype(float)).tolist()
+
+
+def test_toxicity_learns_from_all_labels(spark, make_docs):
+    """More than 3,000 labelled documents, and words that only agree in their first four letters."""
+    r = random.Random(8)
+    tail = lambda: "".join(r.choice("bcdfghjklm") for _ in range(6))
+    data = [(i, prose(i, 12) + (" zonk" + tail() if i % 5 == 0 else " wimp" + tail()), "a") for i in range(3600)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(3500)], "doc_id long, toxic int")
+    docs = make_docs(data)
+    chain = T.fit(docs, labels, ("toxic",))
+    assert len(chain.held) == 3500
+    texts = pa.array([t for _, t, _ in data[3500:]])
+    assert ((chain.probabilities(texts)[:, 0] >= chain.models[0][-1]) == [i % 5 == 0 for i in range(3500, 3600)]).all()
+
+
 def test_toxicity_odd_rows(spark, odd_docs, odd_rows, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert not any(r.toxic for r in T.toxicity(odd_docs, none).collect())
