@@ -8,7 +8,7 @@ ids are unpacked from one block.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +53,7 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def _odd_space(body: np.ndarray) -> np.ndarray:
@@ -65,11 +63,11 @@ def _odd_space(body: np.ndarray) -> np.ndarray:
     return low | (b == 0xE1) & (c == 0x9A) & (d == 0x80) | (b == 0xE2) & (c == 0x80) & ((d <= 0x8A) | (d == 0xA8) | (d == 0xA9) | (d == 0xAF)) | (b == 0xE2) & (c == 0x81) & (d == 0x9F) | (b == 0xE3) & (c == 0x80) & (d == 0x80)
 
 
-def piece_starts(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+def piece_starts(body: np.ndarray, at: np.ndarray, added: Sequence[bytes] = ()) -> np.ndarray:
     """Where texts may be cut without changing any token, and where they start.
 
     The tokenizer cuts before a single space or line feed between other characters, and behind such a line feed.  A text with white space of
-    other kinds stays whole.
+    other kinds, or with one of the tokens added to the vocabulary, stays whole.
     """
     space = _SPACE[body]
     inner = np.zeros(len(body), bool)
@@ -81,6 +79,13 @@ def piece_starts(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     cut[1:] |= (inner & (body == 10))[:-1]
     for i in np.unique(np.searchsorted(at, np.flatnonzero(_odd_space(body)), "right") - 1):
         cut[at[i] : at[i + 1]] = False
+    own = body.tobytes() if added else b""
+    for token in added:
+        found = own.find(token)
+        while found >= 0:
+            i = int(np.searchsorted(at, found, "right")) - 1
+            cut[at[i] : at[i + 1]] = False
+            found = own.find(token, int(at[i + 1]))
     cut[at[:-1][full]] = True
     return np.flatnonzero(cut)
 
@@ -90,6 +95,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._reset()
 
@@ -106,7 +112,7 @@ class Encoder:
     def _encode(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(body):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
-        start = piece_starts(body, at)
+        start = piece_starts(body, at, [t.encode() for t in self.added])
         end = np.append(start[1:], len(body))
         if len(self.keys) > _KEPT:
             self._reset()
@@ -132,7 +138,7 @@ class Encoder:
         """Plain pieces are encoded a thousand at once, line feeds between them: a line feed is then a token of its own."""
         plain, rest = [], []
         for i, p in enumerate(pieces):
-            (plain if len(self.line) == 1 and len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and (p[0] == " " or not p[0].isspace()) else rest).append(i)
+            (plain if len(self.line) == 1 and len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and (p[0] == " " or not p[0].isspace()) and not any(t in p for t in self.added) else rest).append(i)
         order, ids, long = [], [self.flat], []
         runs = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
         for run, got in zip(runs, self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in r]) for r in runs], add_special_tokens=False), strict=True):

@@ -26,6 +26,19 @@ def test_pieces_change_nothing():
         assert count.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_added_tokens_as_the_library_reads_them():
+    """A text that spells an added token has that token's id, as by a plain call of the library."""
+    from tokenizers import Tokenizer
+
+    library, e = Tokenizer.from_file(PATH), T.Encoder(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "a b\n<|endoftext|>\nc d", "a  <|endoftext|>  b \n", "a b <|endo", "ftext|> c d", "<|endoftext|><|endoftext|> a b", "", *[f"w{k} <|endoftext|>" for k in range(30)], prose(1, 40) + " <|endoftext|> " + prose(2, 40), prose(3, 40)]
+    for _ in range(2):
+        ids, count = e.encode(pa.array(texts))
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert e.encode(pa.array(texts[:1]))[0].tolist() == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 15, 16, 17, 31])
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000).astype(np.uint32)
