@@ -27,9 +27,6 @@ def partitions(spark: SparkSession) -> int:
 # --- word hashing ---------------------------------------------------------
 
 _STEP = 1 << 20  # bytes of text hashed at once
-_P, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: by byte: A-Z lower-cased
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -51,22 +48,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW, _INV = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        _POW, _INV = _powers(_P, max(n, _STEP)), _powers(pow(_P, -1, 1 << 64), max(n, _STEP))
-    return _POW, _INV
-
-
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and where each text starts (one more entry for the end); null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,19 +87,55 @@ def hash_words(body: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) ->
     return hash_spans(LOWER[body], start, end), np.diff(np.searchsorted(start, at)), start, end
 
 
+def _blocks(body: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 8-byte blocks of spans of bytes, one span's behind the other's and zeros behind its end; each span's first block and how many it has."""
+    padded = np.append(body, np.zeros(8, np.uint8))
+    words = np.ndarray(len(body) + 1, "<u8", padded, strides=(1,))
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    if len(n) and n.max() == 1:
+        at, left = start, size
+    else:
+        k = np.arange(n.sum()) - np.repeat(first, n)
+        at, left = np.repeat(start, n) + 8 * k, np.repeat(size, n) - 8 * k
+    return words[at] & (np.uint64(2**64 - 1) >> (np.maximum(0, 8 - left) * 8).astype(np.uint64)), first, n
+
+
 def hash_spans(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each nonempty span of bytes; starts and ends ascend.  About a MB of bytes is worked on at once, however long the text."""
+    """A 64-bit hash of each nonempty span of bytes; starts and ends ascend.  About a MB of bytes is worked on at once, however long the text.
+
+    The 8-byte blocks of a span are mixed two by two, and again, until one is left: nothing that repeats in a text cancels out, as it may in sums.
+    """
     out, i = np.empty(len(start), np.uint64), 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _STEP, "right")))
         low = start[i]
-        part = body[low : end[j - 1]]
-        power, inverse = _tables(len(part))
-        values = _BYTE[part]
-        values *= power[: len(part)]
-        sums = np.cumsum(values)
-        s, e = start[i:j] - low, end[i:j] - low
-        out[i:j] = mix((sums[e - 1] - sums[s] + values[s]) * inverse[s])
+        size = end[i:j] - low - (start[i:j] - low)
+        h, first, n = _blocks(body[low : end[j - 1]], start[i:j] - low, size)
+        h = mix(h + np.uint64(0x632BE59BD9B4E019))
+        while len(n) and n.max() > 1:
+            # of each span, blocks 2k and 2k + 1 become block k; an odd last one stays
+            half = (n + 1) >> 1
+            at = np.cumsum(half) - half
+            k = np.arange(half.sum()) - np.repeat(at, half)
+            left = np.repeat(first, half) + 2 * k
+            both = 2 * k + 1 < np.repeat(n, half)
+            g = h[left]
+            g[both] = pair_hash(g[both], h[left[both] + 1])
+            h, first, n = g, at, half
+        out[i:j] = mix(h + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        i = j
+    return out
+
+
+def same_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of one run of bytes equal spans, of the same sizes (not 0), of another."""
+    out, i, ends = np.empty(len(size), bool), 0, np.cumsum(size)
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _STEP, "right")))
+        x, first, _ = _blocks(a, at_a[i:j], size[i:j])
+        y, _, _ = _blocks(b, at_b[i:j], size[i:j])
+        out[i:j] = np.logical_and.reduceat(x == y, first)
         i = j
     return out
 
@@ -141,16 +158,22 @@ def word_batches(texts: pa.Array, breaks: np.ndarray = SPACES) -> Iterator[tuple
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Of undirected edges (a, b), a and b bigint: (node, root), root the least node that can be reached.
 
-    Every round maps a node to its least neighbour's least neighbour and contracts; ids only fall, so the last one is the least.  known: what an
-    earlier call found, to which these edges are added.  A node without edges, or with null in an edge, has no row.
+    Every round each node goes to that of its neighbours and itself which has the least hash, from there once more, and the graph is contracted.
+    The hash is another one each round, so whatever the graph, and however its ids are dealt, each round leaves in expectation a fixed share of
+    the nodes at most: rounds grow with the logarithm of the largest component.  known: what an earlier call found, to which
+    these edges are added.  A node without edges, or with null in an edge, has no row.
     """
     edges = edges.where("a <> b").select("a", "b")
     if known is not None:
         edges = _contracted(edges, known)
-    edges, found = spool(edges.distinct(), "edges"), known
+    edges, found, turn = spool(edges.distinct(), "edges"), known, 0
+    if known is not None and edges.isEmpty():
+        return known
     while not edges.isEmpty():
+        turn += 1
+        rank = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("m")).select("node", F.least(rank("node"), "m").getField("to").alias("root"))
         least = spool(least, "least")
         up = least.select(F.col("node").alias("root"), F.col("root").alias("above"))
         step = least.join(up, "root").select("node", F.col("above").alias("root"))
@@ -162,7 +185,10 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
             fresh = step.join(found.select("node"), "node", "left_anti") if known is not None else step.where("false")
             found = spool(moved.unionByName(fresh), "found")
         edges = spool(_contracted(edges, step).distinct(), "edges")
-    return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if found is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return spool(found.join(least, "root").select("node", F.col("least").alias("root")), "roots")
 
 
 def _contracted(edges: DataFrame, roots: DataFrame) -> DataFrame:
