@@ -158,10 +158,10 @@ def word_batches(texts: pa.Array, breaks: np.ndarray = SPACES) -> Iterator[tuple
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Of undirected edges (a, b), a and b bigint: (node, root), root the least node that can be reached.
 
-    Every round each node goes to that of its neighbours and itself which has the least hash, from there once more, and the graph is contracted.
-    The hash is another one each round, so whatever the graph, and however its ids are dealt, each round leaves in expectation a fixed share of
-    the nodes at most: rounds grow with the logarithm of the largest component.  known: what an earlier call found, to which
-    these edges are added.  A node without edges, or with null in an edge, has no row.
+    Every round each node goes to the node of least hash within two edges of it, and the graph is contracted.  The hash is another one each round,
+    so whatever the graph, and however its ids are dealt, each round leaves in expectation a fixed share of the nodes at most: rounds grow with the
+    logarithm of the largest component, and a star takes one.  known: what an earlier call found, to which these edges
+    are added.  A node without edges, or with null in an edge, has no row.
     """
     edges = edges.where("a <> b").select("a", "b")
     if known is not None:
@@ -173,12 +173,12 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
         turn += 1
         rank = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("m")).select("node", F.least(rank("node"), "m").getField("to").alias("root"))
-        least = spool(least, "least")
-        up = least.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = least.join(up, "root").select("node", F.col("above").alias("root"))
+        near = both.groupBy("a").agg(F.least(rank("a"), F.min(rank("b"))).alias("m"))
+        near = spool(near.select("a", "m.h", "m.to"), "near")
+        two = both.join(near.select(F.col("a").alias("b"), "h", "to"), "b").select("a", "h", "to").unionByName(near)
+        step = spool(two.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("h", "to")).getField("to").alias("root")), "step")
         if found is None:
-            found = step = spool(step, "found")
+            found = step
         else:
             above = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
             moved = found.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))

@@ -1,13 +1,14 @@
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from helpers_llm import edited, prose
+from helpers_llm import WORDS, edited, prose
 from pyspark.sql import functions as F
 
 from graphloom.llm import near_dedup as N
-from graphloom.llm.common import components, word_batches
+from graphloom.llm.common import components, hash_spans, same_spans, word_batches
 from graphloom.llm.exact_dedup import exact_duplicates
 
 WS = "[\x20\x09-\x0d]"
@@ -89,12 +90,66 @@ def test_near_on_families(make_docs):
         assert rows(N.near_duplicates(make_docs(data), n)) == near_by_force(data, n, 80)
 
 
-def test_keep_one(odd_docs, odd_rows):
+def test_near_with_weak_class_hashes(make_docs, monkeypatch, odd_docs, odd_rows):
+    """Different sets under one class hash are told apart by the check."""
+    strong = N._class_ids
+    monkeypatch.setattr(N, "_class_ids", lambda sizes, sets: strong(sizes, sets) % np.array([3, 2**62]))
+    assert rows(N.near_duplicates(odd_docs, 2)) == near_by_force(odd_rows, 2, 80)
+
+
+def test_near_beside_a_large_group(make_docs):
+    """300 linked copies of a text, 300 that are just below the threshold to it, and a few that only some of the copies link."""
+    base, data = prose(55, 150).split(), []
+    r = random.Random(9)
+    for i in range(600):
+        words = list(base)
+        for k in r.sample(range(len(words)), r.randrange(1, 6) if i < 300 else r.randrange(9, 14)):
+            words[k] = r.choice(WORDS[:40]) + "x"
+        data.append((i, " ".join(words), "a"))
+    for i in range(600, 620):  # as one of the copies, and further on
+        words = data[i - 600][1].split()
+        for k in r.sample(range(len(words)), 7):
+            words[k] = r.choice(WORDS[:40]) + "y"
+        data.append((i, " ".join(words), "a"))
+    want = near_by_force(data, 2, 80)
+    assert sum(x[2] == 0 for x in want[:600]) > 250 and len({x[2] for x in want}) > 100
+    assert rows(N.near_duplicates(make_docs(data), 2)) == want
+
+
+def test_differences_lose_no_link(spark, monkeypatch):
+    """Every link between members of a bucket, whatever they have in common with its hub, is among those to the hub or the pairs beside it."""
+    r = random.Random(10)
+    for percent in (50, 80, 90):
+        base = [r.getrandbits(60) for _ in range(60)]
+        pool = [r.getrandbits(60) - 2**59 for _ in range(25)]
+        sets = []
+        for i in range(150):
+            own = set(base) if i % 5 else set(r.sample(pool, 15))
+            own -= set(r.sample(base, r.randrange(0, 25)))
+            own |= set(r.sample(pool, r.randrange(0, 12)))
+            sets.append(sorted(own or {1}))
+        at = spark.createDataFrame([(1, i, 0 if i < 3 else i, 0, 3) for i in range(150)], "bucket long, class long, label long, largest long, weight long")
+        frame = spark.createDataFrame(list(enumerate(sets)), "class long, shingles array<long>")
+        linked, pairs = N._beside(at, frame, percent)
+        found = {frozenset(x) for x in (*rows(linked), *rows(N._confirm(pairs, frame, percent)))}
+        hub = linked.union(at.where("false").select("class", "class")).select("b").first()
+        near = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= percent * len(set(sets[a]) | set(sets[b]))
+        hub = hub[0] if hub else 2
+        links = {frozenset((a, b)) for a in range(150) for b in range(a) if near(a, b) and not (a < 3 and b < 3)}
+        beyond = {x for x in links if not all(near(k, hub) for k in x)}
+        assert {x for x in links if hub in x} | beyond <= found <= links and len(beyond) > 20
+
+
+def test_keep_one(make_docs, odd_docs, odd_rows):
     kept = N.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     want = {i for i, _, _, k in near_by_force(odd_rows, 5, 80) if k}
     assert sorted(x for x in ids if x is not None) == sorted(x for x in want if x is not None)
+    # the nameless copy of a named text goes, one without text stays
+    assert sum(x is None for x in ids) == 1
+    nameless = [(None, prose(1, 50), "a"), (None, prose(1, 50), "a"), (None, edited(prose(1, 50), 1, 1), "a"), (None, prose(2, 50), "a"), (None, "", "a"), (None, None, "a")]
+    assert N.keep_one(make_docs(nameless)).count() == 4
 
 
 def test_estimate_follows_similarity(spark):
@@ -112,9 +167,9 @@ def test_estimate_follows_similarity(spark):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 77), (5, 5), (200, 201)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 77), (5, 5), (200, 201)]
     found = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
-    assert all(found[i] == 0 for i in range(31)) and found[100] == found[77] == 50 and found[201] == 200
+    assert all(found[i] == 0 for i in range(41)) and found[100] == found[77] == 50 and found[201] == 200
     assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
 
 
@@ -128,3 +183,22 @@ def test_word_hashes_tell_words_apart():
             at += c
     assert [len(g) for g in got] == [4, 0, 0, 2, 2]
     assert got[0][0] == got[0][1] == got[3][1] != got[0][2] and got[0][3] == got[3][0] == got[4][1]
+
+
+def test_word_hashes_of_texts_that_repeat():
+    """Words over two letters whose sums cancel out in many a hash."""
+    word = np.zeros(1, np.uint8)
+    for n in range(1, 15):
+        word = np.concatenate([word, 1 - word])
+        body = np.concatenate([word, 1 - word, word]) + np.uint8(97)
+        a, b, c = hash_spans(body, np.arange(3) * len(word), np.arange(1, 4) * len(word))
+        assert a != b and a == c
+        assert same_spans(body, np.array([0, 0]), body, np.array([1, 2]) * len(word), np.full(2, len(word))).tolist() == [False, True]
+    r = random.Random(2)
+    body = np.array([r.choice(b"ab") for _ in range(5000)], np.uint8)
+    start = np.sort(np.array([r.randrange(4900) for _ in range(3000)]))
+    end = np.maximum.accumulate(start + np.array([r.randrange(1, 40) for _ in range(3000)]))
+    seen = {}
+    for s, e, h in zip(start, end, hash_spans(body, start, end).tolist()):
+        assert seen.setdefault(body[s:e].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
