@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_spans, partitions, raw_text, shared_dir, slices, spool
+from .common import hash_spans, partitions, raw_text, same_spans, shared_dir, slices, spool
 
 BLOCK = 1 << 16
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
-#: So many pieces of text keep their ids; then the store starts anew.
-_KEPT = 1_500_000
+#: So many pieces of text, and so many bytes of them, keep their ids; then the store starts anew.
+_KEPT, _KEPT_BYTES = 1_500_000, 64 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -91,7 +91,7 @@ def piece_starts(body: np.ndarray, at: np.ndarray, added: Sequence[bytes] = ())
 
 
 class Encoder:
-    """Encodes texts by their pieces; a piece's ids are kept for the next time it comes."""
+    """Encodes texts by their pieces; a piece's bytes and ids are kept for the next time it comes."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
@@ -100,8 +100,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and each one's place in starts and long
-        self.flat, self.starts, self.long = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and each one's place in what follows
+        self.flat, self.starts, self.long = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids
+        self.bytes, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the pieces themselves
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one behind the other, and how many each text has."""
@@ -114,7 +115,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         start = piece_starts(body, at, [t.encode() for t in self.added])
         end = np.append(start[1:], len(body))
-        if len(self.keys) > _KEPT:
+        if len(self.keys) > _KEPT or len(self.bytes) > _KEPT_BYTES:
             self._reset()
         keys, first, which = np.unique(hash_spans(body, start, end), return_index=True, return_inverse=True)
         at_key = np.searchsorted(self.keys, keys)
@@ -122,21 +123,32 @@ class Encoder:
         inside = at_key < len(self.keys)
         known[inside] = self.keys[at_key[inside]] == keys[inside]
         fresh = np.flatnonzero(~known)
+        own = body.tobytes()
         if len(fresh):
-            n, own = len(self.starts), body.tobytes()
-            self._add([own[start[i] : end[i]].decode("utf-8", "replace") for i in first[fresh]])
+            n = len(self.starts)
+            self._add([own[start[i] : end[i]] for i in first[fresh]])
             self.keys = np.insert(self.keys, at_key[fresh], keys[fresh])
             self.slot = np.insert(self.slot, at_key[fresh], np.arange(n, n + len(fresh)))
-        place = self.slot[np.searchsorted(self.keys, keys)]
-        each = place[which]
+        each = self.slot[np.searchsorted(self.keys, keys)][which]
+        # a piece counts as known only if its bytes are those kept
+        same = self.size[each] == end - start
+        same[same] = same_spans(body, start[same], self.bytes, self.at[each[same]], (end - start)[same])
+        other = np.flatnonzero(~same)
+        if len(other):
+            n = len(self.starts)
+            self._add([own[start[i] : end[i]] for i in other])
+            each[other] = np.arange(n, n + len(other))
         long = self.long[each]
         total = np.concatenate([[0], np.cumsum(long)])
         ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - self.starts[each], long)]
         return ids, np.diff(total[np.searchsorted(start, at)])
 
-    def _add(self, pieces: list[str]) -> None:
+    def _add(self, found: list[bytes]) -> None:
         """Plain pieces are encoded a thousand at once, line feeds between them: a line feed is then a token of its own."""
-        plain, rest = [], []
+        sizes = np.array([len(p) for p in found])
+        self.at, self.size = np.concatenate([self.at, len(self.bytes) + np.cumsum(sizes) - sizes]), np.concatenate([self.size, sizes])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(found), np.uint8)])
+        pieces, plain, rest = [p.decode("utf-8", "replace") for p in found], [], []
         for i, p in enumerate(pieces):
             (plain if len(self.line) == 1 and len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and (p[0] == " " or not p[0].isspace()) and not any(t in p for t in self.added) else rest).append(i)
         order, ids, long = [], [self.flat], []
@@ -187,9 +199,11 @@ def _blocks(path: str, end: int, block: int):
         def flush(shard: int) -> pa.RecordBatch:
             nonlocal number, start, waiting, docs, lengths, held
             ids = np.concatenate(held)
-            row = {"shard": shard, "block": number, "start": start, "n_ids": len(ids), "bits": bits, "doc_ids": docs, "lengths": lengths, "payload": pack(ids, bits)}
+            lists = [pa.concat_arrays(docs), pa.array(np.concatenate(lengths).astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            row = [*(pa.array([x], f.type) for x, f in zip((shard, number, start, len(ids), bits), _SCHEMA, strict=False)), *lists, pa.array([pack(ids, bits)], pa.binary())]
             number, start, waiting, docs, lengths, held = number + 1, start + len(ids), 0, [], [], []
-            return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
+            return pa.RecordBatch.from_arrays(row, schema=_SCHEMA)
 
         shard = -1
         for batch in batches:
@@ -198,11 +212,20 @@ def _blocks(path: str, end: int, block: int):
                 shard = part.column(2)[0].as_py()
                 ids, count = own.encode(part.column(1))
                 at = np.concatenate([[0], np.cumsum(count)])
-                for i, doc in enumerate(part.column(0).to_pylist()):
-                    docs.append(doc)
-                    lengths.append(int(count[i]) + 1)
-                    held += [ids[at[i] : at[i + 1]], np.array([end], np.uint32)]
-                    waiting += lengths[-1]
+                # every document's ids and the end behind them
+                whole = np.full(at[-1] + len(count), end, np.uint32)
+                inner = np.ones(len(whole), bool)
+                inner[at[1:] + np.arange(len(count))] = False
+                whole[inner] = ids
+                ends, done = at[1:] + np.arange(1, len(count) + 1), 0
+                while done < len(count):
+                    # documents up to the one that fills the block
+                    base = ends[done - 1] if done else 0
+                    upto = min(int(np.searchsorted(ends, base + block - waiting)) + 1, len(count))
+                    docs.append(part.column(0).slice(done, upto - done))
+                    lengths.append(count[done:upto] + 1)
+                    held.append(whole[base : ends[upto - 1]])
+                    waiting, done = waiting + int(ends[upto - 1] - base), upto
                     if waiting >= block:
                         yield flush(shard)
         if docs:
@@ -233,24 +256,29 @@ def shard_starts(blocks: DataFrame) -> DataFrame:
     return each.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int, int]]:
+    """Of each block of a batch of BLOCKS: doc_ids, where each document's ids end, all ids, shard and start."""
+    columns = {n: batch.column(n) for n in batch.schema.names}
+    for i in range(batch.num_rows):
+        bits, n, shard, start = (columns[c][i].as_py() for c in ("bits", "n_ids", "shard", "start"))
+        ends = np.cumsum(columns["lengths"][i].values.to_numpy(zero_copy_only=False), dtype=np.int64)
+        yield columns["doc_ids"][i].values, ends, unpack(columns["payload"][i].as_buffer(), bits, 0, n), shard, start
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            lengths = np.array(row["lengths"], np.int64)
-            ids = unpack(row["payload"], row["bits"], 0, row["n_ids"]).astype("<u4")
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(len(lengths), row["shard"], np.int32)), pa.array(starts + row["start"]), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "shard", "at", "n_tokens", "ids_crc32"])
+        for docs, ends, ids, shard, start in _unpacked(batch):
+            lengths = np.diff(ends, prepend=0)
+            body = memoryview(ids.astype("<u4").view(np.uint8))
+            crc = [zlib.crc32(body[4 * s : 4 * e]) for s, e in zip(ends - lengths, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([docs, pa.array(np.full(len(lengths), shard, np.int32)), pa.array(ends - lengths + start), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "shard", "at", "n_tokens", "ids_crc32"])
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            lengths = np.array(row["lengths"], np.int64)
-            ids = unpack(row["payload"], row["bits"], 0, row["n_ids"])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int64)))], names=["doc_id", "ids"])
+        for docs, ends, ids, _, _ in _unpacked(batch):
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int64)))], names=["doc_id", "ids"])
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
@@ -261,8 +289,8 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
 def token_digests(docs: DataFrame, vocabulary: str, end: int = END, block: int = BLOCK, path: str | None = None) -> DataFrame:
     """Write the token file of docs, read it back: doc_id, start, n_tokens, ids_crc32 of every document in it.
 
-    start: the ids of all documents before it.  A null or empty text has the end id alone; rows of one doc_id lie in
-    the order of their text's hash; null ids come first; no rows give no rows.  Columns beyond doc_id and text are ignored.
+    start: the ids of all documents before it.  A null or empty text has the end id alone; a long text is in one block; rows of one doc_id lie in
+    the order of their text's hash, equal ones next to each other; null ids come first; no rows give no rows.  Columns beyond doc_id and text are ignored.
     """
     import uuid
 

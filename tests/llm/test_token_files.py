@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from helpers_llm import prose
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from graphloom.llm import token_files as T
 from graphloom.llm.queries import vocabulary
@@ -13,8 +14,12 @@ PATH = vocabulary(T.VOCABULARY)
 ODD = ["", " ", "a  b\n\n c", "x\u00a0 y z", "a \u2003 b c", "it's  he's 's\n's \ts", "\n", "end \n", "a\n b", "tab\there", "<|endoftext|> hi", "e\u0301 \U0001f600 x\x1f y", "a\r\nb c ", 'don\'t "q" 12 3', "“quoted” – x …", "a\n\nb", " \n x", "\u3000", "a \n b", "ab\x0bcd ef"]
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def plain(text):
-    return T.load_tokenizer(PATH).encode(text or "", add_special_tokens=False).ids
+    """What the library's plain call gives."""
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_pieces_change_nothing():
@@ -28,9 +33,7 @@ def test_pieces_change_nothing():
 
 def test_added_tokens_as_the_library_reads_them():
     """A text that spells an added token has that token's id, as by a plain call of the library."""
-    from tokenizers import Tokenizer
-
-    library, e = Tokenizer.from_file(PATH), T.Encoder(PATH)
+    library, e = LIBRARY, T.Encoder(PATH)
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "a b\n<|endoftext|>\nc d", "a  <|endoftext|>  b \n", "a b <|endo", "ftext|> c d", "<|endoftext|><|endoftext|> a b", "", *[f"w{k} <|endoftext|>" for k in range(30)], prose(1, 40) + " <|endoftext|> " + prose(2, 40), prose(3, 40)]
     for _ in range(2):
         ids, count = e.encode(pa.array(texts))
@@ -65,3 +68,32 @@ def test_round_trip(spark, odd_docs, odd_rows, no_docs, tmp_path):
     some = T.read_tokens(blocks.where(F.array_contains("doc_ids", 12))).where("doc_id = 12").first()
     assert some["ids"] == [*plain("éß \U0001f600 x"), T.END]
     assert T.token_digests(no_docs, PATH).collect() == []
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: "b", 98: "a"})
+    return word
+
+
+def test_words_that_many_hashes_confuse():
+    """Words of 2 ** 10 to 2 ** 14 letters and the same with both letters swapped: sums of powers tend to give both one hash."""
+    e = T.Encoder(PATH)
+    words = [w for n in range(10, 15) for w in (thue_morse(n), thue_morse(n).translate({97: "b", 98: "a"}))]
+    for texts in (words, [" x ".join(words), *reversed(words)]):
+        ids, count = e.encode(pa.array(texts))
+        want = [plain(t) for t in texts]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_pieces_with_one_hash(monkeypatch):
+    """Ids are those of a piece's own bytes, whatever its hash."""
+    strong = T.hash_spans
+    monkeypatch.setattr(T, "hash_spans", lambda *a: strong(*a) % np.uint64(40))
+    e = T.Encoder(PATH)
+    texts = ODD + [prose(k, 60) for k in range(8)] + ODD
+    for _ in range(2):
+        ids, count = e.encode(pa.array(texts))
+        want = [plain(t) for t in texts]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
