@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,6 @@ GRAMS, TAILS = 10_000, 500
 BUCKETS = GRAMS + TAILS + 2
 #: Labelled documents that the target model is fitted on, at most, and as many that the sample's size is fitted on.
 LABELLED = 20_000
-#: Where the size is fitted, ln weights are held to this.
-HOLD = 100.0
 #: The target model starts from so many n-grams drawn as in the raw text.
 PRIOR = 1_000.0
 SEED = 20240229
@@ -104,9 +103,12 @@ def log_weights(ratios: np.ndarray, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def sample_keys(ids: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """ln weight plus Gumbel noise from doc_id, as integers in the same order."""
-    u = mix(mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) ^ np.uint64(SEED))
+def sample_keys(ids: pa.Array, texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """ln weight plus Gumbel noise from doc_id (without one, from the text), as integers in the same order."""
+    own = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)):
+        own[i] = int.from_bytes(hashlib.blake2b((texts[i].as_py() or "").encode(), digest_size=8).digest(), "little")
+    u = mix(own ^ np.uint64(SEED))
     noisy = weights - np.log(-np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53))
     bits = noisy.view(np.int64)
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
@@ -148,29 +150,45 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> np.ndarray:
     return log_ratios([tuple(r) for r in counts.collect()])  # BUCKETS rows at most
 
 
-def calibrate(weights: list[float], quality: list[int]) -> tuple[float, float]:
-    """a, b of the probability 1 / (1 + exp(-a - b w)) that a document of held ln weight w is the target's."""
-    y = np.array(quality, float)
-    if not len(y) or y.all():
-        return 30.0, 0.0
-    if not y.any():
-        return -30.0, 0.0
-    x = np.column_stack([np.ones(len(y)), np.clip(weights, -HOLD, HOLD) / HOLD])
-    w, ridge = np.zeros(2), np.diag([1e-6, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1] / HOLD)
+def calibrate(weights: np.ndarray, quality: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and shares: by held-out documents, how often one whose ln weight lies between two edges is the target's.
+
+    Shares never fall as weights rise: neighbours that would are one step (isotonic regression).  An edge lies midway between the documents beside it.
+    Nothing is said about how weights are spread, which depends on texts' lengths.  Without documents the share is 1.
+    """
+    if not len(weights):
+        return np.zeros(0), np.ones(1)
+    values, which = np.unique(weights, return_inverse=True)
+    n, hits = np.bincount(which), np.bincount(which, quality)
+    steps: list[list[float]] = []  # first value, past the last one, documents, hits
+    for k in range(len(values)):
+        steps.append([k, k + 1, n[k], hits[k]])
+        while len(steps) > 1 and steps[-2][3] * steps[-1][2] >= steps[-1][3] * steps[-2][2]:
+            _, end, more, found = steps.pop()
+            steps[-1] = [steps[-1][0], end, steps[-1][2] + more, steps[-1][3] + found]
+    firsts = np.array([x[0] for x in steps[1:]], int)
+    return (values[firsts - 1] + values[firsts]) / 2, np.array([x[3] / x[2] for x in steps])
+
+
+def expected_targets(rows: DataFrame, edges: np.ndarray, shares: np.ndarray) -> int:
+    """How many of rows(log_weight) are the target's, by the shares between the edges: rows are counted by step in each task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(shares), np.int64)
+        for batch in batches:
+            n += np.bincount(np.searchsorted(edges, np.asarray(batch.column(0)), "right"), minlength=len(shares))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["step", "n"])
+
+    steps = rows.select("log_weight").mapInArrow(count, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()  # a row a step
+    return round(sum(shares[r["step"]] * r["n"] for r in steps))
 
 
 def _scores(ratios):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = log_weights(ratios.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(sample_keys(batch.column(0), w))], names=["doc_id", "log_weight", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(sample_keys(batch.column(0), batch.column(1), w))], names=["doc_id", "log_weight", "key"])
 
     return run
 
@@ -179,17 +197,15 @@ def score(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Dat
     """doc_id, log_weight, key of every row; the least key that is sampled; the model, broadcast.
 
     So many documents are sampled as the target is expected to have: the sum over all documents of the probability that a document is the
-    target's.  N-grams aren't independent, so the weights are too sure of themselves; the probability is therefore fitted, a logistic curve over the
-    ln weight, on the other half of the labelled documents, at most `most` of them.
+    target's.  N-grams aren't independent, so the weights are too sure of themselves; the probability is therefore read off the other half of the
+    labelled documents, at most `most` of them, as the share of the target's among those of like weight.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
     rows = spool(docs.select("doc_id", "text").mapInArrow(_scores(shared), "doc_id bigint, log_weight double, key bigint"), "weights")
     known = rows.join(F.broadcast(spool(_half(labels, 1, most), "held_out")), F.col("doc_id") == F.col("labelled"))
-    known = known.groupBy("labelled").agg(F.min("log_weight").alias("w"), F.max("quality").alias("q")).orderBy("labelled").limit(most).collect()
-    a, b = calibrate([r["w"] for r in known], [r["q"] for r in known])
-    held = F.greatest(F.lit(-HOLD), F.least(F.lit(HOLD), F.col("log_weight")))
-    expected = rows.agg(F.sum(1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * held))))).first()[0]
-    least = kth_largest(rows, max(1, round(expected or 0)))
+    known = known.groupBy("labelled").agg(F.min("log_weight").alias("w"), F.max("quality").alias("q")).select("w", "q").toArrow()  # `most` rows at most
+    edges, shares = calibrate(*(np.asarray(known.column(c).combine_chunks(), float) for c in ("w", "q")))
+    least = kth_largest(rows, max(1, expected_targets(rows, edges, shares)))
     return rows, -(2**63) if least is None else least, shared
 
 
@@ -198,20 +214,22 @@ def quality_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
 
     log_weight is the ln of how much likelier the target's hashed n-gram model makes the text than that of the raw text; kept are the Gumbel
     top k of it, a sample without replacement in proportion to the weights.  Rows that tie with the last one kept are kept.  A null or empty text
-    has weight 1.  Without labels all documents are kept.  Repeated rows share a score; columns beyond those named are ignored.
+    has weight 1, a text of any length the weight of all its n-grams.  Without labels all documents are kept; no rows give no rows.  Rows that
+    repeat an id and a text share a score and its fate, as do rows without id of one text.  Labels that are null, or of a null id, count for
+    nothing; of a label that comes more than once the greatest counts.  Columns beyond those named are ignored.
     """
     rows, least, _ = score(docs, labels, most)
     return rows.select("doc_id", "log_weight", (F.col("key") >= F.lit(least).cast("bigint")).alias("kept"))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """The rows of docs, whatever their columns, that quality_sample keeps.  Nothing is shuffled."""
+    """The rows of docs, whatever their columns, that quality_sample keeps; odd rows fare as there.  Nothing is shuffled."""
     _, least, shared = score(docs, labels, most)
     ids, text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = sample_keys(batch.column(ids), log_weights(shared.value, batch.column(text)))
+            keys = sample_keys(batch.column(ids), batch.column(text), log_weights(shared.value, batch.column(text)))
             yield batch.filter(pa.array(keys >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,12 +1,15 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from helpers_llm import prose
+from pyspark.sql import functions as F
 
 from graphloom.llm import lm_score as L
 from graphloom.llm import quality as Q
@@ -96,12 +99,90 @@ def test_quality_separates(spark, make_docs):
     assert kept.columns == make_docs([]).columns and {r.doc_id for r in kept.collect()} == {i for i, k in found.items() if k}
 
 
+def quality_by_force(spark, data, labels):
+    """log_weight and kept of every row, with a dictionary for each distribution and a plain sort."""
+    own = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            own[i] = max(q, own.get(i, 0))
+    half = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in own], "i long").selectExpr("i", "pmod(xxhash64(i), 2)").collect()} if own else {}
+
+    clean = lambda w: re.sub(rb"[!-/:-@\[-`{-~]{1,3}$", b"", w)
+    one = cache(lambda w: L.hash_words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] if w else np.uint64(11))
+    spread = cache(lambda x: Q.mix(np.array([x], np.uint64))[0])
+    two = cache(lambda a, b: np.uint64(7) if a == b else Q.pair_hash(np.array([a]), np.array([b]))[0])
+
+    @cache
+    def grams(text):
+        out, seen = [], set()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        hashed = [one(clean(w)) for w in words]
+        pairs = [two(a, b) for a, b in zip(hashed, hashed[1:])]
+        for h, w in zip(hashed, words):
+            tail = 0
+            for c in reversed(w[len(clean(w)) :]):
+                tail = tail * 131 + c + 1
+            out += [("gram", int(h) % Q.GRAMS), ("tail", int(spread(tail)) % Q.TAILS)]
+        out += [("gram", int(p) % Q.GRAMS) for p in pairs]
+        for k in range(2, len(words)):
+            three = tuple(hashed[k - 2 : k + 1])
+            out.append(("again", three in seen))
+            seen.add(three)
+        return out
+
+    raw, target = Counter(), Counter()
+    for i, t, _ in data:
+        raw.update(grams(t))
+        if own.get(i) == 1 and half[i] == 0:
+            target.update(grams(t))
+    sizes = {"gram": Q.GRAMS, "tail": Q.TAILS, "again": 2}
+    total = {k: sum(n for (kind, _), n in raw.items() if kind == k) + 1e-9 * size for k, size in sizes.items()}
+    of = {k: sum(n for (kind, _), n in target.items() if kind == k) + Q.PRIOR for k in sizes}
+    ratio = {g: math.log((target[g] + Q.PRIOR * (n + 1e-9) / total[g[0]]) / of[g[0]]) - math.log((n + 1e-9) / total[g[0]]) for g, n in raw.items()}
+    weights = [sum(ratio[g] for g in grams(t)) for _, t, _ in data]
+    held = {}
+    for (i, _, _), w in zip(data, weights):
+        if i in own and half[i] == 1:
+            held[i] = min(w, held.get(i, math.inf))
+    # the share of the target's at a weight: of all runs of documents that end above it the greatest least mean
+    points = [(w, [own[i] for i, x in held.items() if x == w]) for w in sorted(set(held.values()))]
+    mean = lambda a, b: sum(sum(q) for _, q in points[a:b]) / sum(len(q) for _, q in points[a:b])
+    fitted = [max(min(mean(a, b) for b in range(k + 1, len(points) + 1)) for a in range(k + 1)) for k in range(len(points))]
+    share = lambda w: fitted[min(range(len(points)), key=lambda k: abs(points[k][0] - w))] if points else 1.0
+    k = max(1, round(sum(share(w) for w in weights)))
+    keys = Q.sample_keys(pa.array([i for i, _, _ in data], pa.int64()), pa.array([t for _, t, _ in data], pa.string()), np.array(weights))
+    least = np.sort(keys)[::-1][k - 1] if k <= len(keys) else keys.min()
+    return k, sorted(((i, round(w, 6), bool(x >= least)) for (i, _, _), w, x in zip(data, weights, keys)), key=repr)
+
+
+def test_quality_by_force(spark, make_docs, odd_rows):
+    some = [(7, 1), (7, 1), (9, None), (None, 0), (2, 0), (10, 1), (12, 0), (4, 1), (6, 1), (13, 0)]
+    good = quality_rows()
+    r = random.Random(12)
+    mixed = [(i, " ".join(w + r.choice(["", "", "!", "$$"]) * (i % 4) for w in t.split()), s) for i, t, s in good]
+    for data, labels in ((odd_rows, some), (good, [(i, int(i < 1000)) for i, _, _ in good if i % 3]), (mixed, [(i, int(i % 4 < 2 or i % 7 == 0)) for i, _, _ in mixed if i % 3])):
+        k, want = quality_by_force(spark, data, labels)
+        found = Q.quality_sample(make_docs(data), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+        assert sorted(((r.doc_id, round(r.log_weight, 6), r.kept) for r in found), key=repr) == want
+        if data is good:
+            assert k == 300
+
+
+def test_shares_by_weight():
+    edges, shares = Q.calibrate(np.array([5.0, 1, 2, 3, 4, 4]), np.array([1.0, 0, 1, 0, 0, 1]))
+    assert edges.tolist() == [1.5, 4.5] and shares.tolist() == [0, 0.5, 1]
+    assert [x.tolist() for x in Q.calibrate(np.zeros(0), np.zeros(0))] == [[], [1]]
+    assert [x.tolist() for x in Q.calibrate(np.array([-1e6, 3.0]), np.array([0.0, 0.0]))] == [[], [0]]
+
+
 def test_quality_odd_rows(spark, odd_docs, odd_rows, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     some = spark.createDataFrame([(7, 1), (7, 1), (9, None), (None, 0), (2, 0), (10, 1)], "doc_id long, quality int")
-    assert all(r.kept for r in Q.quality_sample(odd_docs, none).collect())
-    assert len(Q.quality_sample(odd_docs, some).collect()) == len(odd_rows)
-    assert Q.quality_sample(no_docs, some).collect() == []
+    assert all(r.kept for r in Q.quality_sample(odd_docs, none).collect()) and Q.keep_sampled(odd_docs, none).count() == len(odd_rows)
+    found = Q.quality_sample(odd_docs, some).collect()
+    assert len(found) == len(odd_rows) and all(r.log_weight == 0 for r in found if r.doc_id in (1, 2, 3))
+    assert sum(r.kept for r in found) == Q.keep_sampled(odd_docs, some).count()
+    assert Q.quality_sample(no_docs, some).collect() == [] and Q.keep_sampled(no_docs, some).collect() == []
 
 
 def test_kth_largest(spark):
@@ -116,10 +197,13 @@ def test_kth_largest(spark):
 def test_gumbel_keys_sample_by_weight():
     ids = pa.array(range(60_000))
     w = np.where(np.arange(60_000) < 20_000, math.log(3.0), 0.0)
-    first = np.argsort(-Q.sample_keys(ids, w))[:3000]
+    texts = pa.nulls(60_000, pa.string())
+    first = np.argsort(-Q.sample_keys(ids, texts, w))[:3000]
     share = (first < 20_000).mean()  # 3 * 20000 of 100000
     assert abs(share - 0.6) < 0.04
-    assert (np.argsort(Q.sample_keys(ids, w * 0 - 5)) == np.argsort(Q.sample_keys(ids, w * 0 + 5))).all()
+    assert (np.argsort(Q.sample_keys(ids, texts, w * 0 - 5)) == np.argsort(Q.sample_keys(ids, texts, w * 0 + 5))).all()
+    none = Q.sample_keys(pa.nulls(4, pa.int64()), pa.array(["a", "b", "a", None]), np.zeros(4))
+    assert none[0] == none[2] and len(set(none.tolist())) == 3
 
 
 def toxic_rows():
@@ -130,7 +214,7 @@ def toxic_rows():
         for _ in range(2 if toxic else 0):
             words[r.randrange(len(words))] = r.choice(["Snarg,", "blorp", "FLEEB!"])
         if toxic and i % 16 == 0:
-            words += ["zonkig" + w for w in words[:4]]
+            words += ["zonk" + w for w in words[:4]]
         out.append((i, " ".join(words), "a", int(toxic), int(i % 16 == 0)))
     return out
 
@@ -182,9 +266,27 @@ def test_toxicity_learns_from_all_labels(spark, make_docs):
     assert ((chain.probabilities(texts)[:, 0] >= chain.models[0][-1]) == [i % 5 == 0 for i in range(3500, 3600)]).all()
 
 
+def test_toxicity_of_repeated_rows(spark, make_docs):
+    """A labelled document that comes 9,000 times is learned from once, and keeps no other from being learned from."""
+    data = [x[:3] for x in toxic_rows()]
+    labels = spark.createDataFrame([(i, a) for i, _, _, a, _ in toxic_rows() if i % 3], "doc_id long, rude int")
+    docs = make_docs(data)
+    plain = {r.doc_id: (r.rude, r.p_rude) for r in T.toxicity(docs, labels, ("rude",)).collect()}
+    many = docs.unionByName(docs.where("doc_id = 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9000)))).drop("copy"))
+    again = T.toxicity(many, labels, ("rude",))
+    assert again.count() == 9600 and {r.doc_id: (r.rude, r.p_rude) for r in again.distinct().collect()} == plain
+    assert T.labelled_features(many, labels, ("rude",), 50).count() == 50
+
+
 def test_toxicity_odd_rows(spark, odd_docs, odd_rows, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert not any(r.toxic for r in T.toxicity(odd_docs, none).collect())
     some = spark.createDataFrame([(7, 1), (7, 1), (9, None), (None, 0), (2, 0), (10, 1)], "doc_id long, toxic int")
-    assert len(T.toxicity(odd_docs, some).collect()) == len(odd_rows)
+    found = T.toxicity(odd_docs, some).collect()
+    assert len(found) == len(odd_rows)
+    # three documents tell no word from another, so all texts are as likely
+    assert len({round(r.p_toxic, 9) for r in found}) == 1 and len({r.toxic for r in found}) == 1
+    assert {r.p_toxic for r in found if r.doc_id in (1, 2, 3)} == {found[0].p_toxic}
+    every = spark.createDataFrame([(7, 1), (10, 1)], "doc_id long, toxic int")
+    assert all(r.toxic for r in T.toxicity(odd_docs, every).collect())
     assert T.toxicity(no_docs, some).collect() == []
