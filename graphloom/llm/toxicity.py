@@ -175,14 +175,15 @@ class Chain:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> DataFrame:
-    """doc_id, fold, words, counts and y0, y1, ... of at most `sample` labelled documents."""
+    """doc_id, fold, words, counts and y0, y1, ... of at most `sample` labelled documents; of rows with one doc_id the one with the least text hash."""
     known = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in ["doc_id", *categories]))
     own = known.groupBy(F.col("doc_id").alias("labelled")).agg(*[F.max(F.col(c).cast("int")).alias(f"y{k}") for k, c in enumerate(categories)])
     own = spool(own.orderBy(F.xxhash64("labelled"), "labelled").limit(sample), "labelled")
-    texts = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("labelled")).drop("labelled")
+    # rows of one id meet in the tasks that read them, and one of each task in the one that chooses
+    one = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").join(F.broadcast(own), F.col("doc_id") == F.col("labelled"))
+    texts = one.groupBy("doc_id").agg(F.min_by("text", F.struct("tie", "text")).alias("text"), *[F.any_value(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
     found = texts.mapInArrow(_counted, "doc_id bigint, fold int, words array<bigint>, counts array<bigint>, " + ", ".join(f"y{k} int" for k in range(len(categories))))
-    found = spool(found, "features")
-    return found if found.count() <= 2 * sample else spool(found.orderBy("doc_id").limit(2 * sample), "features")  # ids that repeat
+    return spool(found, "features")
 
 
 def choose(found: DataFrame, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[list[np.ndarray]]:
@@ -255,9 +256,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("t
     """doc_id, and for each category c p_c (double) and c (boolean), of every row of docs(doc_id, text).
 
     A model weighs ln(1 + count) of the words and word beginnings that tell its category best, and the logits of the categories before it, which in training
-    are out-of-fold ones.  A category holds from the probability on at which out-of-fold F1 is best.  A null or empty text has no words.  Without
-    labelled documents, or with labels all alike, every document is like them (not in the category if there are none).  Repeated rows score
-    alike; columns beyond those named are ignored.
+    are out-of-fold ones.  A category holds from the probability on at which out-of-fold F1 is best.  A null or empty text has no words, a text of any
+    length all its words.  Without labelled documents, or with labels all alike, every document is like them (not in the category if there are none).
+    A row of labels with a null counts for nothing; of one that comes more than once the greatest counts.  Repeated rows score alike, and of rows that
+    share a labelled id one is learned from; no rows give no rows.  Columns beyond those named are ignored.
     """
     chain = fit(docs, labels, categories, sample)
     shared = docs.sparkSession.sparkContext.broadcast(chain.models)
