@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +38,12 @@ ENCODINGS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-_PLACE = {name: np.full(256, -1, np.int16) for name in ENCODINGS}
-for _name, _letters in ENCODINGS.items():
-    _PLACE[_name][np.frombuffer(_letters.encode(), np.uint8)] = np.arange(len(_letters))
+_LETTERS = np.array([len(x) for x in ENCODINGS.values()], float)
+#: by encoding and byte: the letter's place, and by byte: the encodings that have it, as bits
+_PLACES, _HAVE = np.full((len(ENCODINGS), 256), -1, np.int16), np.zeros(256, np.uint16)
+for _k, _letters in enumerate(ENCODINGS.values()):
+    _PLACES[_k, np.frombuffer(_letters.encode(), np.uint8)] = np.arange(len(_letters))
+    _HAVE[np.frombuffer(_letters.encode(), np.uint8)] |= np.uint16(1 << _k)
 
 #: A run that the battery rejects as random at this level is no secret.
 FIT = 0.01
@@ -50,46 +53,63 @@ DISCOVERY = 0.01
 TEXT, PRIOR = 0.04, 1_000
 
 
-def _tail(z: float) -> float:
-    """Two-sided normal tail."""
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def battery(run: bytes) -> tuple[str, int, float, float, float] | None:
-    """(encoding, length, p-value of randomness, chi-squared as a deviate, collisions) of a run, or None if no encoding fits.
-
-    Three tests, Bonferroni-combined: chi-squared of the letters against uniform, with the exact mean and variance for this length; the number of
-    runs above and below the alphabet's middle; and the correlation of each letter's place with the next one's.
-    """
-    codes = np.frombuffer(run.rstrip(b"="), np.uint8)
-    n = len(codes)
-    if n < 16:
-        return None
-    for name, letters in ENCODINGS.items():
-        at = _PLACE[name][codes]
-        if at.min() >= 0:
-            break
-    else:
-        return None
-    a = len(letters)
-    counts = np.bincount(at, minlength=a)
-    same = float((counts * (counts - 1)).sum()) / (n * (n - 1))
-    chi = (counts.astype(float) ** 2).sum() * a / n - n
-    z_chi = (chi - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n)
-    high = at >= a / 2
-    up = int(high.sum())
-    down = n - up
-    if not up or not down:
-        z_runs = float(n)
-    else:
-        mean = 2 * up * down / n + 1
-        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
-        z_runs = (1 + int((high[1:] != high[:-1]).sum()) - mean) / spread
-    x = at - at.mean()
-    power = float((x * x).sum())
-    z_serial = ((float((x[1:] * x[:-1]).sum()) / power) * n + 1) / math.sqrt(n) if power else float(n)
-    p = min(1.0, 3 * min(math.erfc(z_chi / math.sqrt(2)) / 2 if z_chi > 0 else 1.0, _tail(z_runs), _tail(z_serial)))
-    return name, n, p, z_chi, same
+def _erfc(z: np.ndarray) -> np.ndarray:
+    return np.array([math.erfc(x) for x in z.tolist()])
+
+
+class Battery:
+    """encoding (its place in ENCODINGS), length, p-value of randomness, chi-squared as a deviate and collisions of many runs at once; only of
+    those that are tested: 16 letters or more, all of one encoding."""
+
+    def __init__(self, body: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Runs are spans of body, padding included.
+
+        Three tests, Bonferroni-combined: chi-squared of the letters against uniform, with the exact mean and variance for this length; the number of
+        runs above and below the alphabet's middle; and the correlation of each letter's place with the next one's.
+        """
+        size = end - start
+        while len(size) and (pad := (size > 0) & (body[start + size - 1] == 61)).any():
+            size = size - pad
+        fit = np.flatnonzero(size >= 16)
+        start, size = start[fit], size[fit]
+        first = np.cumsum(size) - size
+        codes = body[np.arange(size.sum()) - np.repeat(first - start, size)]
+        # letters as bits of the encodings that have them: what is left of a run's is the encodings that fit, the first of which counts
+        left = np.bitwise_and.reduceat(_HAVE[codes], first) if len(size) else np.zeros(0, np.uint16)
+        some = left > 0
+        self.tested = fit[some]
+        kind = np.log2(left[some] & -left[some].astype(np.int32)).astype(np.int64)
+        codes, size = codes[np.repeat(some, size)], size[some]
+        first = np.cumsum(size) - size
+        self.kind, self.n, n = kind, size, size.astype(float)
+        if not len(size):
+            self.p = self.z = self.same = n
+            return
+        run = np.repeat(np.arange(len(size)), size)
+        at = _PLACES[kind[run], codes].astype(float)
+        a = _LETTERS[kind]
+        cells, counts = np.unique(run * 64 + at.astype(np.int64), return_counts=True)
+        squares = np.bincount(cells // 64, counts.astype(float) ** 2, len(size))
+        self.same = (squares - n) / (n * (n - 1))
+        self.z = (squares * a / n - n - (a - 1)) / np.sqrt(2 * (a - 1) * (n - 1) / n)
+        high = at >= a[run] / 2
+        inner = np.ones(len(run), bool)
+        inner[first] = False
+        up = np.add.reduceat(high.astype(float), first)
+        mean = 2 * up * (n - up) / n + 1
+        spread = np.sqrt(np.maximum(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+        turns = 1 + np.add.reduceat((inner & (high != np.roll(high, 1))).astype(float), first)
+        z_runs = np.where((up == 0) | (up == n), n, (turns - mean) / spread)
+        x = at - (np.add.reduceat(at, first) / n)[run]
+        power, ahead = np.add.reduceat(x * x, first), np.add.reduceat(np.where(inner, x * np.roll(x, 1), 0.0), first)
+        z_serial = np.where(power > 0, (ahead / np.where(power > 0, power, 1) * n + 1) / np.sqrt(n), n)
+        p_chi = np.where(self.z > 0, _erfc(self.z / math.sqrt(2)) / 2, 1.0)
+        self.p = np.minimum(1.0, 3 * np.minimum(p_chi, np.minimum(_erfc(np.abs(z_runs) / math.sqrt(2)), _erfc(np.abs(z_serial) / math.sqrt(2)))))
+
+    def rows(self) -> dict[int, tuple[str, int, float, float, float]]:
+        names = list(ENCODINGS)
+        columns = (x.tolist() for x in (self.tested, self.kind, self.n, self.p, self.z, self.same))
+        return {t: (names[k], n, p, z, same) for t, k, n, p, z, same in zip(*columns, strict=True)}
 
 
 def _evidence(tested: tuple[str, int, float, float, float]) -> float:
@@ -104,36 +124,43 @@ def run_tests(text: bytes, spans: list[tuple[int, int, str]], fit: float = FIT)
     """(start, end, battery's result, chosen) of what is tested in a text, by start, apart from spans.
 
     A run is tested as a whole; if no encoding fits it, it isn't random or it meets a span, its stretches are as well.  Chosen are tested parts that
-    don't overlap: random ones first, the most uniform before others, then the longest.
+    don't overlap: random ones first, the most uniform before others, then the longest.  Takes time in proportion to the text and its runs.
     """
-    starts = [s for s, _, _ in spans]
-    reach = np.maximum.accumulate([e for _, e, _ in spans]) if spans else None
-
-    def free(s: int, e: int) -> bool:
-        i = bisect_left(starts, e)
-        return not i or reach[i - 1] <= s
-
-    out = []
-    for m in CANDIDATE.finditer(text):
-        found = {}
-        if free(m.start(), m.end()) and (b := battery(m[0])):
-            found[m.start(), m.end()] = b
-            if b[2] >= fit:
-                out.append((m.start(), m.end(), b, True))
-                continue
-        for stretch in STRETCHES:
-            for part in stretch.finditer(m[0]):
-                s, e = m.start() + part.start(), m.start() + part.end()
-                if (s, e) not in found and free(s, e) and (b := battery(part[0])):
-                    found[s, e] = b
+    starts = np.array([s for s, _, _ in spans], np.int64)
+    reach = np.maximum.accumulate(np.array([e for _, e, _ in spans], np.int64)) if spans else starts
+    body = np.frombuffer(text, np.uint8)
+
+    def tests(parts: list[tuple[int, int]]) -> dict[int, tuple[str, int, float, float, float]]:
+        """Results, by place in parts, of those that meet no span and fit an encoding."""
+        at = np.array(parts, np.int64).reshape(-1, 2)
+        i = np.searchsorted(starts, at[:, 1])
+        free = np.ones(len(at), bool)
+        free[i > 0] = reach[i[i > 0] - 1] <= at[i > 0, 0]
+        own = np.flatnonzero(free)
+        return {int(own[k]): b for k, b in Battery(body, at[own, 0], at[own, 1]).rows().items()}
+
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    whole = tests(runs)
+    out = [(*runs[k], b, True) for k, b in whole.items() if b[2] >= fit]
+    mixed = [k for k in range(len(runs)) if k not in whole or whole[k][2] < fit]
+    parts, of = [], []
+    for k in mixed:
+        s, e = runs[k]
+        found = {(m.start(), m.end()) for stretch in STRETCHES for m in stretch.finditer(text, s, e)} - ({(s, e)} if k in whole else set())
+        parts += sorted(found)
+        of += [k] * len(found)
+    by: dict[int, dict[tuple[int, int], tuple]] = {k: {runs[k]: whole[k]} if k in whole else {} for k in mixed}
+    for k, b in tests(parts).items():
+        by[of[k]][parts[k]] = b
+    for found in by.values():
         taken, chosen = [], set()
         for (s, e), b in sorted(found.items(), key=lambda x: (x[1][2] < fit, _evidence(x[1]) if x[1][2] >= fit else -x[1][1], x[0])):
             i = bisect_left(taken, (e,))
             if not i or taken[i - 1][1] <= s:
-                taken.insert(i, (s, e))
+                insort(taken, (s, e))
                 chosen.add((s, e))
-        out += [(*at, b, at in chosen) for at, b in sorted(found.items())]
-    return out
+        out += [(*at, b, at in chosen) for at, b in found.items()]
+    return sorted(out, key=lambda x: x[:2])
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
@@ -148,30 +175,28 @@ def base_spans(text: bytes) -> list[tuple[int, int, str]]:
 SCANNED = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base string, runs array<struct<start:bigint,end:bigint,encoding:string,n:int,p:double,z:double,same:double,chosen:boolean>>"
 
 
-def _points(text: bytes, offsets: list[int]) -> dict[int, int]:
+def _points(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Code points before each byte offset."""
-    out, at, n = {}, 0, 0
-    for x in sorted(set(offsets)):
-        n += len(text[at:x].decode("utf-8", "replace"))
-        at, out[x] = x, n
-    return out
+    return offsets - np.searchsorted(np.flatnonzero((body & 0xC0) == 0x80), offsets)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], fit: float = FIT) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("n", pa.int32()), ("p", pa.float64()), ("z", pa.float64()), ("same", pa.float64()), ("chosen", pa.bool_())])
+    fields = [("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("n", pa.int32()), ("p", pa.float64()), ("z", pa.float64()), ("same", pa.float64()), ("chosen", pa.bool_())]
     for batch in batches:
-        counts, bases, runs = [], [], []
+        counts, bases, ends, runs = [], [], [0], [[] for _ in fields]
         for text in batch.column(1):
             body = text.as_buffer().to_pybytes() if text.is_valid else b""
             spans = base_spans(body)
             tested = run_tests(body, spans, fit)
-            at = _points(body, [x for s in (*spans, *tested) for x in s[:2]]) if spans or tested else {}
+            at = _points(np.frombuffer(body, np.uint8), np.array([x for s in (*spans, *tested) for x in s[:2]], np.int64)).reshape(-1, 2).tolist()
             counts.append([sum(k == name for _, _, k in spans) for name in ("assign", "access", "hex")])
-            bases.append(",".join(f"{k}:{at[s]}:{at[e]}" for s, e, k in spans))
-            runs.append([(at[s], at[e], *b, chosen) for s, e, b, chosen in tested])
+            bases.append(",".join(f"{k}:{s}:{e}" for (_, _, k), (s, e) in zip(spans, at, strict=False)))
+            for (s, e), (_, _, b, chosen) in zip(at[len(spans) :], tested, strict=True):
+                for column, x in zip(runs, (s, e, *b, chosen), strict=True):
+                    column.append(x)
+            ends.append(len(runs[0]))
         n = np.array(counts, np.int64).reshape(-1, 3)
-        names = kind.names
-        rows = pa.array([[dict(zip(names, r, strict=True)) for r in x] for x in runs], pa.list_(kind))
+        rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, k) for x, (_, k) in zip(runs, fields, strict=True)], [name for name, _ in fields]))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(n[:, k]) for k in range(3)), pa.array(bases, pa.string()), rows], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "runs"])
 
 
@@ -186,7 +211,8 @@ def secret_spans(docs: DataFrame, fit: float = FIT, discovery: float = DISCOVERY
     tested, on a histogram of 1/16 steps of log2 p, summed over all documents.
 
     spans are kind:start:end in code points, end exclusive, comma-joined by start; kinds assign, access, hex, then random.
-    A null text is empty.  Repeated rows get a row each; columns beyond doc_id and text are ignored.
+    A null text is empty, and an empty one has no spans; a long text is scanned as a whole, in time in proportion to it.  Repeated rows get a
+    row each; no rows give no rows; columns beyond doc_id and text are ignored.
     """
     rows = docs.select("doc_id", "text").mapInArrow(lambda batches: _scan(batches, fit), SCANNED)
     rows = spool(rows.select("*", F.monotonically_increasing_id().alias("row")), "scanned")

@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -125,6 +127,82 @@ def test_secret_runs():
     assert spans(b"0a" * 16 + b"/" + key) == [key]  # beside a base span
 
 
+def battery_by_force(run):
+    """The three tests of one run, letter by letter."""
+    run = run.rstrip("=")
+    n = len(run)
+    name = next((k for k, letters in S.ENCODINGS.items() if set(run) <= set(letters)), None)
+    if n < 16 or name is None:
+        return None
+    letters = S.ENCODINGS[name]
+    a, at = len(letters), [letters.index(c) for c in run]
+    counts = Counter(at).values()
+    same = sum(c * (c - 1) for c in counts) / (n * (n - 1))
+    z = (sum(c * c for c in counts) * a / n - n - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n)
+    high = [x >= a / 2 for x in at]
+    up = sum(high)
+    mean = 2 * up * (n - up) / n + 1
+    z_runs = n if up in (0, n) else (1 + sum(x != y for x, y in zip(high, high[1:])) - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+    x = [v - sum(at) / n for v in at]
+    power = sum(v * v for v in x)
+    z_serial = (sum(v * w for v, w in zip(x, x[1:])) / power * n + 1) / math.sqrt(n) if power else n
+    tail = lambda v: math.erfc(abs(v) / math.sqrt(2))
+    return name, n, min(1, 3 * min(math.erfc(z / math.sqrt(2)) / 2 if z > 0 else 1, tail(z_runs), tail(z_serial))), z, same
+
+
+def random_by_force(texts):
+    """Random spans of each text: runs, each tested alone, then the discovery rule over a plain list of all."""
+    runs = []
+    for d, t in enumerate(texts):
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_by_force(t)]
+        for s, e, b, chosen in S.run_tests(t.encode(), S.base_spans(t.encode())):
+            u, v = len(t.encode()[:s].decode()), len(t.encode()[:e].decode())
+            want = battery_by_force(t[u:v])
+            assert b[:2] == want[:2] and all(abs(p - q) < 1e-9 * max(1, abs(q)) for p, q in zip(b[2:], want[2:]))
+            assert not any(x < v and u < y for x, y in base)
+            runs.append((d, u, v, want, chosen))
+    agree = {}
+    for kind in {b[0] for _, _, _, b, _ in runs}:
+        own = [b for _, _, _, b, chosen in runs if chosen and b[0] == kind]
+        failed = [b for b in own if b[2] < S.FIT]
+        twice = max(2 / len(S.ENCODINGS[kind]), S.TEXT)
+        many = len(failed) > 10 + 3 * S.FIT / (1 - S.FIT) * (len(own) - len(failed))
+        agree[kind] = (sum(b[4] * b[1] for b in failed) + S.PRIOR * twice) / (sum(b[1] for b in failed) + S.PRIOR) if many else twice
+    steps = []
+    for _, _, _, (kind, n, p, z, _), chosen in runs:
+        a = len(S.ENCODINGS[kind])
+        excess = max(0, a * agree[kind] - 1) * (n - 1)
+        t = (z - excess / math.sqrt(2 * (a - 1))) / math.sqrt(1 + 2 * excess / (a - 1))
+        log2p = 0 if t > 0 else -t * t / 2 / math.log(2) - math.log2(max(2, -t * math.sqrt(2 * math.pi)))
+        steps.append((math.ceil(max(log2p, -1000) * 16), p >= S.FIT and chosen))
+    fits = [k for k in {k for k, _ in steps} if 0 < (found := sum(ok for x, ok in steps if x <= k)) and 2 ** (k / 16) * len(steps) <= S.DISCOVERY * found]
+    out = [[] for _ in texts]
+    for (d, u, v, _, _), (k, ok) in zip(runs, steps):
+        if ok and fits and k <= max(fits):
+            out[d].append(f"random:{u}:{v}")
+    return out
+
+
+def test_random_spans_by_force(make_docs):
+    r = random.Random(26)
+    texts = [prose(k, 20) + " é " + r.choice(["", "key_of=", "/a/b_c/", "x-"]) + base64.b64encode(r.randbytes(r.randrange(12, 60))).decode() + " secret=abcdefgh12 " + "0f" * r.randrange(10, 20) for k in range(60)]
+    texts += [prose(k, 30) + " /the/of_and/" + "/".join("_-"[j % 2].join(r.choice(WORDS) for _ in range(2)) for j in range(6)) + " " + "".join(r.choice(WORDS) for _ in range(r.randrange(3, 12))) for k in range(150)]
+    texts += ["0" * 40, "0123456789" * 4, "a" * 16 + "=" * 3, "=" * 20, "é" * 30 + "-" * 20]
+    want = random_by_force(texts)
+    found = {x.doc_id: [y for y in x.spans.split(",") if y.startswith("random")] for x in S.secret_spans(make_docs([(k, t, "a") for k, t in enumerate(texts)])).collect()}
+    assert [found[k] for k in range(len(texts))] == want and sum(map(bool, want)) >= 40
+
+
+def test_secrets_in_a_long_text():
+    """4 MB with 60,000 spans and as many runs take seconds, as work is in proportion to the text."""
+    r = random.Random(27)
+    text = " ".join(("password=abcdefgh1234", "/a/b_c/" + base64.b64encode(r.randbytes(30)).decode(), "wörd")[k % 3] for k in range(180_000)).encode()
+    began = time.perf_counter()
+    base = S.base_spans(text)
+    tested = S.run_tests(text, base)
+    assert len(base) == 60_000 and len(tested) >= 60_000 and time.perf_counter() - began < 60
+
+
 # --- urls ---
 
 
