@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers_llm import WORDS, edited, prose
 
@@ -279,6 +280,11 @@ def test_leaks(spark, make_docs, odd_rows, monkeypatch, most):
     found = D.leaks(make_docs(data), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, score int"))
     want = leaks_by_force(data, items)
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == want and len(want) > 60
+    whole = {(r.doc_id, r.item_id): r.score for r in D.leaks(make_docs(data), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    monkeypatch.setattr(D, "ITEMS", 7)
+    dealt = {(r.doc_id, r.item_id): r.score for r in D.leaks(make_docs(data), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert whole.keys() == dealt.keys() and all(abs(whole[k] - dealt[k]) < 1e-9 for k in whole)
+    monkeypatch.setattr(D, "ITEMS", most)
     kept = D.without_leaks(make_docs(data), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _, _ in data if i not in {d for d, _ in want})
     assert kept.columns == make_docs(data).columns
@@ -287,3 +293,49 @@ def test_leaks(spark, make_docs, odd_rows, monkeypatch, most):
 def test_leaks_without_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows(D.leaks(odd_docs, none)) == [] and rows(D.leaks(no_docs, spark.createDataFrame(items_of(), "item_id long, text string"))) == []
+
+
+def test_wand_finds_what_full_scoring_finds():
+    """The same items as scores of all of them, from a fraction of their postings."""
+    r = random.Random(31)
+    items = [(k, prose(40_000 + k, 20 + k % 40)) for k in range(2000)]
+    index = D.build(items)[0]
+    found = scored = 0
+    for k in range(60):
+        words = " ".join((prose(50_000 + k, 60), edited(items[k * 7][1], k, k % 12), prose(60_000 + k, 20)))
+        passage = D._words(words)
+        t = index.lookup(np.unique(passage))
+        scores = np.zeros(len(items))
+        for x in t[t >= 0]:
+            own = slice(index.first[x], index.first[x + 1])
+            scores[index.item[own]] += index.impact[own]
+            scored += own.stop - own.start
+        want = np.flatnonzero(scores >= index.score - 1e-9)
+        got = dict(index.query(passage))
+        assert sorted(got) == want.tolist() and all(abs(got[i] - scores[i] / index.raised[i]) < 1e-9 for i in got)
+        found += len(got)
+    assert found >= 40 and index.touched < scored / 3
+
+
+def test_retrieval_reaches_every_leak():
+    """Items whose rarest words, as many as a leak may lack, are replaced where that costs the fewest shingles."""
+    r = random.Random(32)
+    items = [(k, prose(70_000 + k, 12 + k % 120)) for k in range(0, 400, 5)]
+    missed = leaked = 0
+    for index in D.build(items):
+        for k, item in enumerate(index.ids):
+            words = dict(items)[item].split()
+            own = index.shingles[k]
+            mine = np.flatnonzero(index.item == k)
+            impact = dict(zip(index.terms[np.searchsorted(index.first, mine, "right") - 1].tolist(), index.impact[mine].tolist()))
+            for at in range(len(words)):
+                for n in range(1, len(words) // 4):
+                    changed = words[:at] + ["qq%dx" % r.randrange(10**6) for _ in words[at : at + n]] + words[at + n :]
+                    if at % 9 and n % 3:
+                        continue
+                    passage = D._words(" ".join(changed))
+                    if np.isin(np.unique(own), D.shingle_hashes(passage)).mean() >= D.SHARE:
+                        score = sum(impact[t] for t in set(passage.tolist()) if t in impact)
+                        leaked += 1
+                        missed += score < index.score - 1e-9
+    assert leaked > 1000 and not missed
