@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import hash_words, mix, pair_hash, partitions, raw_text, slices, spool
 
-#: Bytes of text in a chunk, about.
-CHUNK = 1 << 23
+#: Bytes of text in a chunk, about, and of all chunks' words and pairs so many in a hash range at most, about.
+CHUNK, RANGE = 1 << 23, 1 << 22
 #: Context counts are bucketed by their binary logarithm.
 CONTEXTS = 40
 #: Held-out tokens are summed in so many classes per octave of each estimate.
@@ -130,7 +130,7 @@ class Tokens:
         self.pairs, self.before = _pairs(self.words, self.stream, self.lengths)
 
 
-QUESTIONS = "chunk bigint, part int, kind int, keys binary, counts binary"
+QUESTIONS = "chunk bigint, part bigint, kind int, keys binary, counts binary"
 
 
 def _questions(parts: int):
@@ -143,16 +143,15 @@ def _questions(parts: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 t = Tokens(row)
                 for kind, (keys, n) in enumerate(((t.words, np.bincount(t.stream, minlength=len(t.words))), np.unique(t.pairs, return_counts=True))):
-                    bounds = np.searchsorted((keys >> shift) if parts > 1 else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
-                    some = np.flatnonzero(np.diff(bounds))
-                    own = [slice(bounds[p], bounds[p + 1]) for p in some]
-                    columns = [pa.array(np.full(len(some), row["chunk"])), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array([squeeze_keys(keys[x]) for x in own], pa.binary()), pa.array([None if row["held"] else squeeze(n[x].astype("<i8")) for x in own], pa.binary())]
+                    some, first = np.unique((keys >> shift) if parts > 1 else np.zeros(len(keys), np.uint64), return_index=True)
+                    own = [slice(a, b) for a, b in zip(first, [*first[1:], len(keys)], strict=True)]
+                    columns = [pa.array(np.full(len(some), row["chunk"])), pa.array(some.astype(np.int64)), pa.array(np.full(len(some), kind, np.int32)), pa.array([squeeze_keys(keys[x]) for x in own], pa.binary()), pa.array([None if row["held"] else squeeze(n[x].astype("<i8")) for x in own], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "kind", "keys", "counts"])
 
     return run
 
 
-ANSWERS = "chunk bigint, part int, kind int, answers binary, known bigint, total bigint"
+ANSWERS = "chunk bigint, part bigint, kind int, answers binary, known bigint, total bigint"
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -176,7 +175,7 @@ def _add_up(table: pa.Table) -> pa.Table:
         for chunk, k, end in zip(own.column("chunk").to_pylist(), keys, np.cumsum([len(k) for k in keys]), strict=True):
             add(chunk, part, kind, squeeze(total[which[end - len(k) : end]]), None, None)
         add(-1, part, kind, None, int((total > 0).sum()), int(total.sum()))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
@@ -262,6 +261,11 @@ def _score(weights: np.ndarray, known: int, total: int):
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+def ranges(tokens: int, partitions: int) -> int:
+    """Hash ranges, a power of 2, for so many tokens: each asks for a word and a pair at most, so a range's task holds as much at every input size."""
+    return 1 << (max(partitions, -(-2 * tokens // RANGE)) - 1).bit_length()
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
@@ -270,12 +274,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     one; how, depends on how often its context was seen, by binary order, and is learned on the held-out documents, with no estimate of their own.
     base_score is the log10 probability under add-one word counts, score that under the mixture.
 
-    Pairs and words are told apart by 64-bit hashes.  A null or empty text is an end alone.  Without held-out documents all estimates weigh
-    a third.  Repeated rows count and score once each; columns beyond doc_id and text are ignored.
+    Pairs and words are told apart by 64-bit hashes.  A null or empty text is an end alone.  A long text is a chunk of its own, of no more tokens than
+    an Arrow list has (2 ** 31).  Without held-out documents all estimates weigh a third; no rows give no rows.  Repeated rows count and
+    score once each; columns beyond doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    parts = 1 << (4 * partitions(spark) - 1).bit_length()
     tokens = spool(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(_chunks, CHUNKS), "chunks", "uncompressed")
+    parts = ranges(tokens.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).first()[0], partitions(spark))
     asked = tokens.mapInArrow(_questions(parts), QUESTIONS)
     answers = spool(asked.groupBy("part").applyInArrow(_add_up, ANSWERS), "answers")
     known, total = answers.where("chunk = -1 AND kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()

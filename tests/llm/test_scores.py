@@ -74,6 +74,16 @@ def test_lm_mixture_by_force(make_docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_ranges_grow_with_the_input(make_docs, odd_rows, scored, monkeypatch):
+    """More tokens, more hash ranges, as many for a task as before; scores are the same in any number of them."""
+    assert [L.ranges(n * L.RANGE, 8) for n in (0, 1, 4, 40, 4000)] == [8, 8, 8, 128, 8192]
+    monkeypatch.setattr(L, "RANGE", 50)
+    monkeypatch.setattr(L, "CHUNK", 10_000)
+    again = L.lm_scores(make_docs(odd_rows)).collect()
+    near = lambda found: sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 2)) for r in found), key=repr)
+    assert near(again) == near(scored)
+
+
 def test_lm_no_rows(no_docs):
     assert L.lm_scores(no_docs).collect() == []
 
