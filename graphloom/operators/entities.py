@@ -12,7 +12,6 @@ from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,11 +24,13 @@ from ..plans.order import BY_ID, Key, expressions, flipped, prepended
 from ..sources.shared import spool
 
 ID = ("type_id", "local_id")
+#: Rows that one task may number.
+FEW = 1_000_000
 ID_SCHEMA = "type_id int, local_id bigint"
 
 
 class Frame:
-    """A type with its subtypes as one DataFrame: type_id, local_id, p_<property>, b_<blob>, l_<link>."""
+    """A type with its subtypes as one DataFrame: type_id, local_id, p_<property>, b_<blob>, l_<link> and k_<link>, the type that it leads to."""
 
     def __init__(self, store: EntityStore, name: str):
         self.store, self.name = store, name
@@ -52,6 +53,8 @@ class Frame:
         for link in model.links(t.name).values():
             if link.column is not None:
                 out[f"l_{link.name}"] = as_column(link.column).cast("bigint")
+                kind = F.lit(self.store.only(link)).cast("int") if link.target_kind is None else model.id_of(as_column(link.target_kind))
+                out[f"k_{link.name}"] = F.when(out[f"l_{link.name}"].isNotNull(), kind)
         df = t.df.select(F.lit(model.ids[t.name]).alias("type_id"), F.col(t.id_column).cast("bigint").alias("local_id"), *[c.alias(n) for n, c in out.items()])
         kinds = {f.name: f.dataType for f in df.schema.fields}
         return df.withColumns({n: normal(F.col(n), kinds[n]) for n in out if n.startswith("p_") and isinstance(kinds[n], (T.BooleanType, T.ArrayType))})
@@ -85,7 +88,6 @@ class EntityStore:
     def __init__(self, spark: SparkSession, types: Iterable[EntityType]):
         self.spark, self.model = spark, Model(types)
         self._frames: dict[str, Frame] = {}
-        self._counts: dict[str, int] = {}
 
     def frame(self, name: str) -> Frame:
         if name not in self._frames:
@@ -120,21 +122,46 @@ class EntityStore:
             link = self.frame(name).link(p.link)
             return self.query(name).find_links(p.link, self.query(link.target, p.inner))
         if isinstance(p, P.HasLink):
-            return self.query(name)._sources(self.edges(name, p.link).select("local_id"))
+            return self.query(name)._sources(self.edges(name, p.link))
         if isinstance(p, P.LinkIs) and p.target is None:
             return self.query(name).minus(self.query(name, P.HasLink(p.link)))
         targets = p.targets if isinstance(p, P.LinkIn) else (p.target,)
-        return self.query(name)._sources(self.edges(name, p.link).where(F.col("target").isin(*targets)).select("local_id"))
+        return self.query(name)._sources(self.edges(name, p.link).where(F.col("target").isin(*targets)))
 
-    def edges(self, name: str, link: str) -> DataFrame:
-        """(local_id, target) of a link, without repeats."""
-        frame = self.frame(name)
-        found = frame.link(link)
-        if found is None:
-            return self.spark.createDataFrame([], "local_id bigint, target bigint")
-        if found.edges is not None:
-            return found.edges.select(F.col("src").cast("bigint").alias("local_id"), F.col("dst").cast("bigint").alias("target")).where("target IS NOT NULL").distinct()
-        return frame.df.select("local_id", frame.fk(link).alias("target")).where("target IS NOT NULL")
+    def only(self, link: Link) -> int:
+        """The id of the one type that a link leads to."""
+        names = self.model.with_subtypes(link.target) or [link.target]
+        if len(names) > 1:
+            raise ValueError(f"link {link.name} leads to several types: name them")
+        return self.model.ids.get(names[0], -1)
+
+    def edges(self, name: str, link: str, distinct: bool = False) -> DataFrame:
+        """(type_id, local_id, target_type, target) of a link of a type and its subtypes; distinct: without repeats that a frame of edges has."""
+        frame, parts = self.frame(name), []
+        if frame.fk(link) is not None:
+            parts.append(frame.df.select(*ID, F.col(f"k_{link}").alias("target_type"), frame.fk(link).alias("target")).where("target IS NOT NULL"))
+        owners: dict[int, tuple[Link, list[str]]] = {}
+        for n in frame.names:
+            found = self.model.links(n).get(link)
+            if found is not None and found.multiple:
+                owners.setdefault(id(found), (found, []))[1].append(n)
+        more = [self._edges(found, names) for found, names in owners.values()]
+        if not parts and not more:
+            return self.spark.createDataFrame([], ID_SCHEMA + ", target_type int, target bigint")
+        return reduce(DataFrame.unionByName, parts + [e.distinct() for e in more] if distinct else parts + more)
+
+    def _edges(self, link: Link, names: list[str]) -> DataFrame:
+        if link.opposite is not None:
+            back = self.edges(link.target, link.opposite)
+            own = back.select(F.col("target_type").alias("type_id"), F.col("target").alias("local_id"), F.col("type_id").alias("target_type"), F.col("local_id").alias("target"))
+            return own.where(F.col("type_id").isin(*[self.model.ids[n] for n in names]))
+        e = link.edges
+        if "src_type" not in e.columns and len(names) > 1:
+            raise ValueError(f"link {link.name} is of several types: name them")
+        source = self.model.id_of(F.col("src_type")) if "src_type" in e.columns else F.lit(self.model.ids[names[0]]).cast("int")
+        target = self.model.id_of(F.col("dst_type")) if "dst_type" in e.columns else F.lit(self.only(link)).cast("int")
+        e = e.where("src_type IN (" + ", ".join(f"'{n}'" for n in names) + ")") if "src_type" in e.columns else e
+        return e.where("dst IS NOT NULL").select(source.alias("type_id"), F.col("src").cast("bigint").alias("local_id"), target.alias("target_type"), F.col("dst").cast("bigint").alias("target"))
 
     # --- sources ---
 
@@ -165,35 +192,56 @@ class EntityStore:
         df = frame.df.where(frame.prop(prop).isNotNull()).select(*ID, value.alias("value"))
         return EntitySet(self, name, df, (Key("value", sort=True), *BY_ID), sort_result=True)
 
+    def _of_one(self, name: str, local_id: int, link: str) -> DataFrame:
+        """Edges of one entity: of a type with subtypes, the one whose type comes first."""
+        edges = self.edges(name, link, True).where(F.col("local_id") == local_id)
+        if len(self.frame(name).names) < 2:
+            return edges
+        first = self.frame(name).df.where(F.col("local_id") == local_id).agg(F.min("type_id").alias("first"))
+        return edges.join(F.broadcast(first), F.col("type_id") == F.col("first")).drop("first")  # one row
+
     def links_from(self, name: str, local_id: int, link: str) -> EntitySet:
         """Targets of one entity's link."""
         found = self.frame(name).link(link)
         if found is None:
             return self.empty()
-        df = self.edges(name, link).where(F.col("local_id") == local_id).select(self._type(found.target), F.col("target").alias("local_id"))
-        return EntitySet(self, found.target, df)
+        return EntitySet(self, found.target, self._of_one(name, local_id, link).select(F.col("target_type").alias("type_id"), F.col("target").alias("local_id")))
 
     def links_from_set(self, name: str, local_id: int, links: Sequence[str]) -> EntitySet:
         """Targets over several links, once each, with the first of the links that leads there as `link`."""
         frame, parts = self.frame(name), []
         for n, link in enumerate(links):
-            if found := frame.link(link):
-                parts.append(self.edges(name, link).where(F.col("local_id") == local_id).select(self._type(found.target), F.col("target").alias("local_id"), F.lit(n).alias("n"), F.lit(link).alias("link")))
+            if frame.link(link):
+                parts.append(self._of_one(name, local_id, link).select(F.col("target_type").alias("type_id"), F.col("target").alias("local_id"), F.lit(n).alias("n"), F.lit(link).alias("link")))
         if not parts:
             return self.empty()
         df = reduce(DataFrame.unionByName, parts).groupBy(*ID).agg(F.min_by("link", "n").alias("link"))
         return EntitySet(self, name, df)
 
-    def _type(self, name: str) -> Column:
-        return F.lit(self.model.ids[name]).cast("int").alias("type_id")
-
-    def merge_sorted(self, sets: Sequence[EntitySet], value: str, ascending: bool = True) -> EntitySet:
-        """Sets of any types as one, by a property that each has under this name."""
+    def entity(self, type_name: str, local_id: int) -> DataFrame:
+        """The one row of an entity, all its columns; an error if there is none."""
+        found = self.frame(type_name).df.where(F.col("local_id") == local_id)
+        if found.isEmpty():
+            raise KeyError(f"no {type_name} {local_id}")
+        return found
+
+    def catalog(self) -> DataFrame:
+        """type_id, name, parent and how many entities each type has of its own."""
+        sizes = self.spark.createDataFrame([], "type_id int, size bigint")
+        for name, t in self.model.types.items():
+            if t.df is not None:
+                sizes = sizes.unionByName(t.df.agg(F.lit(self.model.ids[name]).cast("int").alias("type_id"), F.count(F.lit(1)).alias("size")))
+        types = self.spark.createDataFrame([(self.model.ids[n], n, t.parent) for n, t in self.model.types.items()], "type_id int, name string, parent string")
+        return types.join(sizes, "type_id", "left").select("type_id", "name", "parent", F.coalesce("size", F.lit(0)).alias("size"))
+
+    def merge_sorted(self, sets: Sequence[EntitySet], value: str | Sequence[Column], ascending: bool = True) -> EntitySet:
+        """Sets of any types as one, by a property that each has under this name, or by a key each: an expression over the type's columns."""
         parts = []
-        for s in sets:
-            kind = self.frame(s.type).kind(value)
-            own = s._with(f"p_{value}").select(*ID, fold(F.col(f"p_{value}"), kind).alias("merged"))
-            parts.append(own)
+        for n, s in enumerate(sets):
+            frame = self.frame(s.type)
+            own = [f"p_{value}"] if isinstance(value, str) else [c for c in frame.kinds if c not in ID]
+            key = fold(F.col(f"p_{value}"), frame.kind(value)) if isinstance(value, str) else value[n]
+            parts.append(s._with(*own).select(*ID, key.alias("merged")))
         return EntitySet(self, "", reduce(DataFrame.unionByName, parts), (Key("merged", ascending, sort=True), *BY_ID), sort_result=True)
 
 
@@ -208,6 +256,7 @@ class EntitySet:
     sort_result: bool = False
     predicate: P.Predicate | None = None
     full: bool = False
+    few: bool = False  # a take or a page of no more than FEW
 
     # --- plumbing ---
 
@@ -215,7 +264,7 @@ class EntitySet:
         return [k.column for k in self.order if k.column not in ID]
 
     def _set(self, df: DataFrame, order: tuple[Key, ...] = BY_ID, **more: Any) -> EntitySet:
-        return replace(self, df=df, order=order, predicate=None, full=False, **more)
+        return replace(self, df=df, order=order, predicate=None, **{"full": False, "few": False} | more)
 
     @cached_property
     def ids(self) -> DataFrame:
@@ -244,12 +293,12 @@ class EntitySet:
 
     def _match(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         """Join on ids, the null element being equal to itself."""
-        r = right.select(F.col("type_id").alias("t_"), F.col("local_id").alias("i_")).distinct()
+        r = right.select(F.col("type_id").alias("t_"), F.col("local_id").alias("i_"))
         return left.join(r, F.col("type_id").eqNullSafe(F.col("t_")) & F.col("local_id").eqNullSafe(F.col("i_")), how)
 
-    def _sources(self, local_ids: DataFrame) -> EntitySet:
-        r = local_ids.select(F.col("local_id").alias("i_"))
-        return replace(self, df=self.df.join(r, F.col("local_id") == F.col("i_"), "left_semi"), predicate=None)
+    def _sources(self, ids: DataFrame) -> EntitySet:
+        r = ids.select(F.col("type_id").alias("t_"), F.col("local_id").alias("i_"))
+        return replace(self, df=self.df.join(r, (F.col("type_id") == F.col("t_")) & (F.col("local_id") == F.col("i_")), "left_semi"), predicate=None)
 
     # --- set operators ---
 
@@ -317,28 +366,22 @@ class EntitySet:
         found = self.store.frame(self.type).link(link)
         if found is None:
             return replace(self, df=self.df.where(F.lit(False)), predicate=None)
-        wanted = self.store.model.with_subtypes(found.target)
-        t = targets.df.where(F.col("type_id").isin(*[self.store.model.ids[n] for n in wanted])).select(F.col("local_id").alias("i_"))
+        t = targets.df.select(F.col("type_id").alias("t_"), F.col("local_id").alias("i_"))
         fk = self.store.frame(self.type).fk(link)
-        if fk is not None and self.full:
-            return replace(self, df=self.df.join(t, fk == F.col("i_"), "left_semi"), predicate=None)
+        if fk is not None and self.full and not any(self.store.model.links(n)[link].multiple for n in self.store.frame(self.type).names if link in self.store.model.links(n)):
+            return replace(self, df=self.df.join(t, (F.col(f"k_{link}") == F.col("t_")) & (fk == F.col("i_")), "left_semi"), predicate=None)
         edges = self.store.edges(self.type, link)
-        return self._sources(edges.join(t, F.col("target") == F.col("i_"), "left_semi"))
+        return self._sources(edges.join(t, (F.col("target_type") == F.col("t_")) & (F.col("target") == F.col("i_")), "left_semi"))
 
     def _targets(self, link: str, how: str, first: bool) -> DataFrame:
         """(type_id, local_id, source_type, source_id) along a link: the first target of each source, or all."""
-        found = self.store.frame(self.type).link(link)
         sources = self.df.select(F.col("type_id").alias("source_type"), F.col("local_id").alias("source_id"))
-        if found is None:
-            edges = self.store.spark.createDataFrame([], "s_ bigint, target bigint")
-            kind = F.lit(None).cast("int")
-        else:
-            edges = self.store.edges(self.type, link).select(F.col("local_id").alias("s_"), "target")
-            kind = F.when(F.col("target").isNotNull(), F.lit(self.store.model.ids[found.target]).cast("int"))
-            if first and found.multiple:
-                edges = edges.groupBy("s_").agg(F.min("target").alias("target"))
-        out = sources.join(edges, F.col("source_id") == F.col("s_"), how)
-        return out.select(kind.alias("type_id"), F.col("target").alias("local_id"), "source_type", "source_id")
+        edges = self.store.edges(self.type, link, not first).select(F.col("type_id").alias("t_"), F.col("local_id").alias("s_"), "target_type", "target")
+        found = self.store.frame(self.type).link(link)
+        if first and found is not None and found.multiple:
+            edges = edges.groupBy("t_", "s_").agg(F.min(F.struct("target_type", "target")).alias("x")).select("t_", "s_", "x.*")
+        out = sources.join(edges, (F.col("source_type") == F.col("t_")) & (F.col("source_id") == F.col("s_")), how)
+        return out.select(F.col("target_type").alias("type_id"), F.col("target").alias("local_id"), "source_type", "source_id")
 
     def _along(self, df: DataFrame, link: str) -> EntitySet:
         found = self.store.frame(self.type).link(link)
@@ -361,10 +404,25 @@ class EntitySet:
         """First targets once each, without the null element."""
         return self._along(self._targets(link, "inner", True).select(*ID).distinct(), link)
 
-    def with_sources(self, link: str, many: bool = True) -> DataFrame:
-        """Targets with the least source that leads to each."""
+    def with_sources(self, link: str, many: bool = True, distinct: bool = True) -> DataFrame:
+        """Targets with where each comes from: the least (source_type, source_id) that leads to it, or, not distinct, one row for each source."""
         t = self._targets(link, "left", not many)
-        return t.groupBy(*ID).agg(F.min("source_id").alias("source_id"))
+        if not distinct:
+            return t
+        return t.groupBy(*ID).agg(F.min(F.struct("source_type", "source_id")).alias("x")).select(*ID, "x.*")
+
+    def first_links(self, link: str) -> DataFrame:
+        """ids with the first (least) target of each, null without one: target_type, target."""
+        t = self._targets(link, "left", True)
+        return t.select(F.col("source_type").alias("type_id"), F.col("source_id").alias("local_id"), F.col("type_id").alias("target_type"), F.col("local_id").alias("target"))
+
+    def linked_values(self, link: str, *names: str) -> DataFrame:
+        """ids with properties of the first linked entity."""
+        found = self.store.frame(self.type).link(link)
+        target = self.store[found.target].values(*names) if found else self.store.empty().values(*names)
+        target = target.select(F.col("type_id").alias("t_"), F.col("local_id").alias("i_"), *names)
+        out = self.first_links(link).join(target, (F.col("target_type") == F.col("t_")) & (F.col("target") == F.col("i_")), "left")
+        return out.select(*ID, *names)
 
     # --- order ---
 
@@ -396,23 +454,24 @@ class EntitySet:
         if kind is None:
             return self
         target = self.store.frame(found.target)
-        values = target.df.select(F.col("local_id").alias("i_"), fold(target.prop(prop), kind).alias("v_"))
+        values = target.df.select(F.col("type_id").alias("vt_"), F.col("local_id").alias("vi_"), fold(target.prop(prop), kind).alias("v_"))
         name = self._fresh()
-        edges = self.store.edges(self.type, link).select(F.col("local_id").alias("s_"), "target").join(values, F.col("target") == F.col("i_"))
-        best = edges.groupBy("s_").agg((F.min("v_") if ascending else F.max("v_")).alias(name)) if found.multiple else edges.select("s_", F.col("v_").alias(name))
-        df = self.ids.join(best, F.col("local_id") == F.col("s_"), "left").drop("s_")
+        edges = self.store.edges(self.type, link).select(F.col("type_id").alias("t_"), F.col("local_id").alias("s_"), "target_type", "target")
+        edges = edges.join(values, (F.col("target_type") == F.col("vt_")) & (F.col("target") == F.col("vi_")))
+        best = edges.groupBy("t_", "s_").agg((F.min("v_") if ascending else F.max("v_")).alias(name)) if found.multiple else edges.select("t_", "s_", F.col("v_").alias(name))
+        df = self.ids.join(best, (F.col("type_id") == F.col("t_")) & (F.col("local_id") == F.col("s_")), "left").drop("t_", "s_")
         return self._sorted(df, Key(name, ascending, sort=True), self.sort_result)
 
     def sort_links(self, link: str, targets: EntitySet) -> EntitySet:
         """By the place of the linked entity among the targets, in this set's order within it; without a link at the place of null, or last."""
-        ranked = targets.positions("rank_").select(F.col("local_id").alias("i_"), "rank_").groupBy("i_").agg(F.min("rank_").alias("rank_"))
+        ranked = targets.positions("rank_").select(F.col("type_id").alias("rt_"), F.col("local_id").alias("i_"), "rank_").groupBy("rt_", "i_").agg(F.min("rank_").alias("rank_"))
         name = self._fresh()
-        edges = self.store.edges(self.type, link).select(F.col("local_id").alias("s_"), "target")
-        rank = edges.join(ranked, F.col("target") == F.col("i_")).groupBy("s_").agg(F.min("rank_").alias("r_"))
+        edges = self.store.edges(self.type, link).select(F.col("type_id").alias("t_"), F.col("local_id").alias("s_"), "target_type", "target")
+        # one row a source: the best rank, null if it has links but none of them is ranked
+        rank = edges.join(ranked, (F.col("target_type") == F.col("rt_")) & (F.col("target") == F.col("i_")), "left").groupBy("t_", "s_").agg(F.min("rank_").alias("r_"))
         null = ranked.where("i_ IS NULL").agg(F.min("rank_").alias("null_rank"))
-        linked = edges.select(F.col("s_").alias("l_")).distinct()
-        df = self.ids.join(rank, F.col("local_id") == F.col("s_"), "left").join(linked, F.col("local_id") == F.col("l_"), "left").join(F.broadcast(null))  # one row
-        df = df.withColumn(name, F.when(F.col("l_").isNull(), F.col("null_rank")).otherwise(F.col("r_"))).drop("s_", "r_", "l_", "null_rank")
+        df = self.ids.join(rank, (F.col("type_id") == F.col("t_")) & (F.col("local_id") == F.col("s_")), "left").join(F.broadcast(null))  # one row
+        df = df.withColumn(name, F.when(F.col("s_").isNull(), F.col("null_rank")).otherwise(F.col("r_"))).drop("t_", "s_", "r_", "null_rank")
         return self._set(df, prepended(Key(name, sort=True), self.order), sort_result=True)
 
     def as_sort_result(self) -> EntitySet:
@@ -425,7 +484,7 @@ class EntitySet:
     def take(self, n: int) -> EntitySet:
         if n <= 0:
             return self._set(self.ids.where(F.lit(False)), self.order)
-        return self._set(self.ids.orderBy(*expressions(self.order)).limit(n), self.order)
+        return self._set(self.ids.orderBy(*expressions(self.order)).limit(n), self.order, few=n <= FEW)
 
     def skip(self, n: int) -> EntitySet:
         if n <= 0:
@@ -434,7 +493,7 @@ class EntitySet:
 
     def page(self, skip: int, take: int) -> EntitySet:
         """take(skip + take), then skip: sorts in bounded memory."""
-        return self._set(self.ids.orderBy(*expressions(self.order)).limit(max(0, skip) + take).offset(max(0, skip)), self.order)
+        return self._set(self.ids.orderBy(*expressions(self.order)).limit(max(0, skip) + take).offset(max(0, skip)), self.order, few=take <= FEW)
 
     def first(self) -> EntitySet:
         return self.take(1)
@@ -446,8 +505,11 @@ class EntitySet:
         """ids, order keys and each row's place from 0.
 
         Sorted in ranges of the keys; a row's place is its place in its range after the rows of the ranges before, a table of one row a range.
+        A take or a page, being in one partition, is numbered there.
         """
         keys = expressions(self.order)
+        if self.few:
+            return self.ids.withColumn(name, (F.row_number().over(W.orderBy(*keys)) - 1).cast("bigint"))
         n = int(self.store.spark.conf.get("spark.sql.shuffle.partitions"))
         ranged = self.ids.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
         local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -475,40 +537,50 @@ class EntitySet:
         return df.select(*ID, *[(F.coalesce(f"p_{n}", F.lit(False)) if boolean(n) else F.col(f"p_{n}")).alias(n) for n in names])
 
     def names_present(self, kind: str = "p") -> DataFrame:
-        """ids with the names of the properties (p), blobs (b) or single links (l) that each entity has."""
-        own = [c for c in self.store.frame(self.type).kinds if c.startswith(f"{kind}_")]
+        """ids with the names of the properties (p), blobs (b) or links (l) that each entity has."""
+        frame = self.store.frame(self.type)
+        own = [c for c in frame.kinds if c.startswith(f"{kind}_")]
         found = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c[2:])) for c in own])) if own else F.array().cast("array<string>")
-        return self._with(*own).select(*ID, F.array_sort(found).alias("names"))
+        out = self._with(*own).select(*ID, found.alias("names"))
+        many = list(dict.fromkeys(n for t in frame.names for n, x in self.store.model.links(t).items() if x.multiple)) if kind == "l" else []
+        if many:
+            edges = reduce(DataFrame.unionByName, [self.store.edges(self.type, n).select(F.col("type_id").alias("t_"), F.col("local_id").alias("i_"), F.lit(n).alias("n_")) for n in many])
+            edges = edges.groupBy("t_", "i_").agg(F.collect_set("n_").alias("more_"))
+            out = out.join(edges, (F.col("type_id") == F.col("t_")) & (F.col("local_id") == F.col("i_")), "left")
+            out = out.select(*ID, F.array_distinct(F.concat("names", F.coalesce("more_", F.array().cast("array<string>")))).alias("names"))
+        return out.select(*ID, F.array_sort("names").alias("names"))
 
     def blob_sizes(self, name: str) -> DataFrame:
         return self._with(f"b_{name}").select(*ID, F.octet_length(F.col(f"b_{name}")).alias("size"))
 
+    def blob_texts(self, name: str) -> DataFrame:
+        """ids with a blob as text, null without one."""
+        return self._with(f"b_{name}").select(*ID, F.col(f"b_{name}").cast("string").alias("text"))
+
+    def value_counts(self, prop: str) -> DataFrame:
+        """How many elements have each folded value of a property; a set counts once for each item."""
+        kind = self.store.frame(self.type).kind(prop)
+        value = fold(F.col(f"p_{prop}"), kind) if kind is not None else F.lit(None).cast("string")
+        df = self._with(f"p_{prop}").select((F.explode(value) if isinstance(kind, T.ArrayType) else value).alias("value")).where("value IS NOT NULL")
+        return df.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+    def target_counts(self, link: str) -> DataFrame:
+        """How many elements lead to each target of a link."""
+        return self._targets(link, "inner", False).groupBy(*ID).agg(F.count(F.lit(1)).alias("n"))
+
     def describe(self) -> str:
-        """A text that two sets share only if they are built alike."""
-        how = self.predicate.describe() if self.predicate is not None else self.df._jdf.queryExecution().analyzed().canonicalized().toString()
-        return f"{self.type}|{how}|{self.order}"
+        """A text of how a set is built: its type, its predicate if it is one still, and its order."""
+        return f"{self.type}|{self.predicate.describe() if self.predicate is not None else 'joined'}|{self.order}"
 
     def size_frame(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("size"))
 
     def size(self) -> int:
-        n = self.size_frame().first()["size"]
-        self.store._counts[self.describe()] = n
-        return n
-
-    def count(self) -> int:
-        """The exact size if it is at hand, else -1."""
-        if self.df.storageLevel == StorageLevel.NONE and self.describe() not in self.store._counts:
-            return -1
-        return self.size()
-
-    def rough_count(self) -> int:
-        """The size when it was last counted, -1 if never."""
-        return self.store._counts.get(self.describe(), -1)
-
-    def rough_size(self) -> int:
-        n = self.rough_count()
-        return n if n >= 0 else self.size()
+        return self.size_frame().first()["size"]
 
     def is_empty(self) -> bool:
         return self.df.isEmpty()
+
+    def is_empty_frame(self) -> DataFrame:
+        """One row: whether there is no element, for which one is looked for only."""
+        return self.df.limit(1).agg((F.count(F.lit(1)) == 0).alias("empty"))

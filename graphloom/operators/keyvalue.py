@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import spool
 
 @dataclass(frozen=True)
 class KeyValueStore:
@@ -54,10 +55,27 @@ class KeyValueStore:
     def last(self) -> DataFrame:
         return self.scan(False).limit(1)
 
+    def steps(self) -> DataFrame:
+        """Each pair with the pairs that a cursor comes from and goes to: previous and next, as structs, null at the ends.
+
+        Pairs are sorted into ranges, so that no key is in one task as a whole; a range takes the pairs beyond its ends from a table of
+        one row a range.
+        """
+        n = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pair = F.struct("key", "value")
+        placed = self.df.select("key", "value").repartitionByRange(n, "key", "value").withColumn("range_", F.spark_partition_id())
+        placed = spool(placed, "steps")
+        ends = placed.groupBy("range_").agg(F.min(pair).alias("low_"), F.max(pair).alias("high_"))
+        w = W.orderBy("range_")
+        ends = ends.select(F.col("range_").alias("r_"), F.lag("high_").over(w).alias("before_"), F.lead("low_").over(w).alias("after_"))
+        here = W.partitionBy("range_").orderBy("key", "value")
+        out = placed.withColumns({"p_": F.lag(pair).over(here), "n_": F.lead(pair).over(here)}).join(ends, F.col("range_") == F.col("r_"))
+        return out.select("key", "value", F.coalesce("p_", "before_").alias("previous"), F.coalesce("n_", "after_").alias("next"))
+
     def neighbours(self) -> DataFrame:
         """Each pair with the previous and next value of its key (next and previous duplicate)."""
-        w = W.partitionBy("key").orderBy("value")
-        return self.df.select("key", "value", F.lag("value").over(w).alias("previous"), F.lead("value").over(w).alias("next"))
+        same = lambda x: F.when(F.col(f"{x}.key").eqNullSafe(F.col("key")), F.col(f"{x}.value")).alias(x)
+        return self.steps().select("key", "value", same("previous"), same("next"))
 
     # --- writes: a new store ---
 
@@ -83,23 +101,3 @@ class KeyValueStore:
 
     def delete(self, keys: DataFrame) -> KeyValueStore:
         return KeyValueStore(self.df.join(keys.select("key"), "key", "left_anti"), self.duplicates)
-
-
-class Environment:
-    """Named stores."""
-
-    def __init__(self, stores: dict[str, KeyValueStore] | None = None):
-        self.stores = dict(stores or {})
-
-    def names(self) -> list[str]:
-        return sorted(self.stores)
-
-    def exists(self, name: str) -> bool:
-        return name in self.stores
-
-    def truncate(self, name: str) -> None:
-        old = self.stores[name]
-        self.stores[name] = KeyValueStore(old.df.where(F.lit(False)), old.duplicates)
-
-    def remove(self, name: str) -> None:
-        del self.stores[name]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.model import EntityType
+from ..plans.model import EntityType, Link
 from .entities import EntityStore
 
 
@@ -28,7 +29,8 @@ def delete_entities(store: EntityStore, name: str, ids: DataFrame) -> EntityStor
     """Without the entities of ids(local_id): their properties, blobs and outgoing links go; links to them stay and dangle."""
     t = store.model.types[name]
     gone = ids.select(F.col("local_id").alias("i_")).distinct()
-    links = tuple(replace(k, edges=k.edges.join(gone, F.col("src") == F.col("i_"), "left_anti")) if k.edges is not None else k for k in t.links)
+    own = lambda e: (F.col("src") == F.col("i_")) & (F.col("src_type") == name if "src_type" in e.columns else F.lit(True))
+    links = tuple(replace(k, edges=k.edges.join(gone, own(k.edges), "left_anti")) if k.edges is not None else k for k in t.links)
     return _changed(store, replace(t, df=t.df.join(gone, F.col(t.id_column) == F.col("i_"), "left_anti"), links=links))
 
 
@@ -51,10 +53,19 @@ def set_blob(store: EntityStore, name: str, blob: str, value: Column) -> EntityS
     return _changed(store, replace(t, df=t.df.withColumn(f"set_{blob}", value), blobs=t.blobs | {blob: f"set_{blob}"}))
 
 
+def delete_blob(store: EntityStore, name: str, blob: str) -> EntityStore:
+    t = store.model.types[name]
+    return _changed(store, replace(t, blobs={b: c for b, c in t.blobs.items() if b != blob}))
+
+
+def _ends(link: Link) -> list[str]:
+    return [c for c in ("src_type", "src", "dst_type", "dst") if c in link.edges.columns]
+
+
 def add_links(store: EntityStore, name: str, link: str, edges: DataFrame) -> EntityStore:
     """Edges (src, dst) of a multiple link; those that are there already change nothing."""
     t = store.model.types[name]
-    links = tuple(replace(k, edges=k.edges.select("src", "dst").unionByName(edges.select("src", "dst")).distinct()) if k.name == link else k for k in t.links)
+    links = tuple(replace(k, edges=k.edges.select(*_ends(k)).unionByName(edges.select(*_ends(k))).distinct()) if k.name == link else k for k in t.links)
     return _changed(store, replace(t, links=links))
 
 
@@ -101,3 +112,24 @@ def unique_key_violations(store: EntityStore, name: str, fields: Sequence[str])
     df = store.query(name).values(*fields)
     null = F.greatest(*[F.col(f).isNull() for f in fields]) if len(fields) > 1 else F.col(fields[0]).isNull()
     return df.groupBy(*fields).agg(F.count(F.lit(1)).alias("n")).withColumn("has_null", null).where("n > 1 OR has_null")
+
+
+def insert_entities(store: EntityStore, name: str, rows: DataFrame) -> EntityStore:
+    """Rows of the type's own frame, by add_entities, which may also change entities; an error if a unique key of the type then comes twice or has a null."""
+    changed = add_entities(store, name, rows)
+    for index in store.model.indices(name):
+        top = next((t for t in (*reversed(store.model.supertypes(name)), name) if index in store.model.types[t].indices), name)
+        if not unique_key_violations(changed, top, index.fields).isEmpty():
+            raise ValueError(f"{name}: {', '.join(index.fields)} must be unique and not null")
+    return changed
+
+
+def link_violations(store: EntityStore, name: str) -> DataFrame:
+    """type_id, local_id, link and n of the entities that have fewer or more targets of a link than its cardinality says."""
+    parts = [store.empty().df.select("type_id", "local_id", F.lit("").alias("link"), F.lit(0).cast("bigint").alias("n"))]
+    for link in store.model.links(name).values():
+        n = store[name].df.select(F.col("type_id").alias("t_"), F.col("local_id").alias("i_")).join(store.edges(name, link.name, True), (F.col("type_id") == F.col("t_")) & (F.col("local_id") == F.col("i_")), "left")
+        n = n.groupBy(F.col("t_").alias("type_id"), F.col("i_").alias("local_id")).agg(F.count("target").alias("n"))
+        low, high = F.lit(int(link.cardinality[0])), F.lit(None if link.cardinality.endswith("n") else 1)
+        parts.append(n.where((F.col("n") < low) | F.coalesce(F.col("n") > high, F.lit(False))).select("type_id", "local_id", F.lit(link.name).alias("link"), "n"))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,13 +6,15 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Link:
-    """A named link to entities of type target: a column of the type's own frame, or a frame of edges (src, dst).
+    """A named link to entities of type target or its subtypes: a column of the type's own frame, a frame of edges, or the opposite of a link of target.
 
-    cardinality is "0..1", "1", "0..n" or "1..n"; kind "directed", "undirected" or "aggregation".
+    edges has columns src and dst.  Where entities of several types have the link, or several types are led to, the names of the types
+    stand in src_type and dst_type, or beside a column in the column target_kind.  cardinality is "0..1", "1", "0..n" or "1..n".
     """
 
     name: str
@@ -20,18 +22,16 @@ class Link:
     column: str | Column | None = None
     edges: DataFrame | None = None
     cardinality: str = "0..1"
-    kind: str = "directed"
     opposite: str | None = None
-    cascade_delete: bool = False
-    clear_on_delete: bool = False
+    target_kind: str | Column | None = None
 
     def __post_init__(self) -> None:
-        if (self.column is None) == (self.edges is None):
-            raise ValueError(f"link {self.name}: either a column or edges")
+        if sum(x is not None for x in (self.column, self.edges, self.opposite)) != 1:
+            raise ValueError(f"link {self.name}: either a column, edges or an opposite")
 
     @property
     def multiple(self) -> bool:
-        return self.edges is not None
+        return self.column is None
 
 
 @dataclass(frozen=True)
@@ -104,6 +104,9 @@ class Model:
                 out.setdefault(link.name, link)
         return out
 
+    def link_names(self) -> list[str]:
+        return list(dict.fromkeys(link.name for t in self.types.values() for link in t.links))
+
     def incoming(self, name: str) -> list[tuple[str, Link]]:
         """(type, link) of the links that may lead to entities of this type."""
         wide = {name, *self.supertypes(name)}
@@ -118,5 +121,9 @@ class Model:
     def indices_of_field(self, name: str, field_name: str) -> list[Index]:
         return [i for i in self.indices(name) if field_name in i.fields]
 
+    def id_of(self, kind: Column) -> Column:
+        """Type id of a type's name."""
+        return F.create_map(*[F.lit(x) for name, i in self.ids.items() for x in (name, i)])[kind].cast("int")
+
     def type_name(self, type_id: int) -> str | None:
         return next((n for n, i in self.ids.items() if i == type_id), None)

@@ -6,6 +6,7 @@ Queries whose result is ordered carry `pos`, the place of each row from 0.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from .functions import id_parts, id_text, set_contains, set_max, set_min, set_mi
 from .operators.bitmap import Bitmap
 from .operators.entities import EntitySet, EntityStore
 from .operators.keyvalue import KeyValueStore
-from .operators.writes import add_links, delete_entities, set_link, set_property, unique_key_violations
-from .plans.predicates import Between, Contains, Equals, HasBlob, HasLink, LinkIs, LinkTo, Present, StartsWith
+from .operators.writes import add_links, delete_blob, delete_entities, delete_type, insert_entities, link_violations, rename_type, set_blob, set_link, set_property, unique_key_violations
+from .plans.predicates import All, Between, Contains, Equals, HasBlob, HasLink, LinkIs, LinkTo, Present, StartsWith
 from .sources.tables import trade_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,9 +92,11 @@ def prop_range_ci(s):
     return ids(s.query("Customer", Between("segment", "AutoMobile", "FURNITURE")))
 
 
-@query("SELECT doc_id AS id FROM labels WHERE false")
+@query("SELECT 'true, true' AS range, doc_id AS id FROM labels WHERE toxic = 1 UNION ALL SELECT 'false, true', doc_id FROM labels")
 def prop_range_false_false(s):
-    return ids(s.query("Label", Between("toxic", False, False)))
+    """All four ranges of booleans: from true to true, from false to true, and the two that find nothing."""
+    found = [ids(s.query("Label", Between("toxic", low, high))).select(F.lit(f"{low}, {high}".lower()).alias("range"), "id") for low in (False, True) for high in (False, True)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 @query("SELECT p_partkey AS id FROM part WHERE starts_with(lower(p_brand), 'brand#1')")
@@ -174,9 +177,9 @@ def link_eq(s):
     return ids(s.query("Order", LinkIs("customer", 7)))
 
 
-@query("SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey BETWEEN 1 AND 20")
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#12'")
 def find_links_set(s):
-    return ids(s["Order"].find_links("parts", s.find_ids("Part", 1, 20)))
+    return ids(s["Order"].find_links("parts", s.query("Part", Equals("brand", "brand#12"))))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal BETWEEN 0.0 AND 5000.0)")
@@ -207,7 +210,7 @@ def without_fk(s):
 
 @query("SELECT DISTINCT l_orderkey AS id, l_partkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def link_pairs(s):
-    return s.edges("Order", "parts").select(F.col("local_id").alias("id"), "target")
+    return s.edges("Order", "parts", True).select(F.col("local_id").alias("id"), "target")
 
 
 @query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey = 1")
@@ -257,11 +260,11 @@ def _urgent(s):
     return s.query("Order", StartsWith("priority", "1"))
 
 
-def _of_parts(s, low, high):
-    return s["Order"].find_links("parts", s.find_ids("Part", low, high))
+def _of_brand(s, brand):
+    return s["Order"].find_links("parts", s.query("Part", StartsWith("brand", brand)))
 
 
-_PARTS = "SELECT l_orderkey FROM lineitem WHERE l_partkey BETWEEN {} AND {}"
+_BRAND = "SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand LIKE '{}%'"
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice BETWEEN 0 AND 120000 AND o_orderpriority LIKE '1%'")
@@ -269,14 +272,14 @@ def intersect(s):
     return ids(_cheap(s).intersect(_urgent(s)))
 
 
-@query(f"SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN ({_PARTS.format(1, 90)}) AND o_orderkey IN ({_PARTS.format(60, 200)})")
+@query(f"SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN ({_BRAND.format("Brand#11")}) AND o_orderkey IN ({_BRAND.format("Brand#2")})")
 def intersect_joined(s):
-    return ids(_of_parts(s, 1, 90).intersect(_of_parts(s, 60, 200)))
+    return ids(_of_brand(s, "Brand#11").intersect(_of_brand(s, "Brand#2")))
 
 
-@query(ordered(f"SELECT o_orderkey AS id, o_totalprice AS t FROM orders WHERE o_orderkey IN ({_PARTS.format(1, 200)})", "t DESC, id"))
+@query(ordered(f"SELECT o_orderkey AS id, o_totalprice AS t FROM orders WHERE o_orderkey IN ({_BRAND.format("Brand#3")})", "t DESC, id"))
 def intersect_saving_order(s):
-    return placed(_of_parts(s, 1, 200).intersect_saving_order(s["Order"].sort("total", ascending=False)))
+    return placed(_of_brand(s, "Brand#3").intersect_saving_order(s["Order"].sort("total", ascending=False)))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice BETWEEN 0 AND 120000 OR o_orderpriority LIKE '1%'")
@@ -289,9 +292,9 @@ def union_with_null(s):
     return ids(s["Customer"].select_many("home").union(s.find_ids("Nation", 0, 2)))
 
 
-@query(f"SELECT o_orderkey AS id FROM orders WHERE o_totalprice BETWEEN 0 AND 120000 AND o_orderkey NOT IN ({_PARTS.format(1, 500)})")
+@query(f"SELECT o_orderkey AS id FROM orders WHERE o_totalprice BETWEEN 0 AND 120000 AND o_orderkey NOT IN ({_BRAND.format("Brand#4")})")
 def minus(s):
-    return ids(_cheap(s).minus(_of_parts(s, 1, 500)))
+    return ids(_cheap(s).minus(_of_brand(s, "Brand#4")))
 
 
 @query(f"SELECT {FEW} AS id FROM customer WHERE {FEW} IS NULL OR {FEW} >= 10")
@@ -437,14 +440,205 @@ def write_set_delete(s):
     return ids(changed.query("Order", Equals("status", "BIG")))
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE CASE WHEN o_orderkey BETWEEN 1 AND 50 THEN 1 ELSE o_custkey END = 1 OR o_orderkey BETWEEN 60 AND 70")
+@query("SELECT o_orderkey AS id FROM orders WHERE CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE o_custkey END = 1 OR o_orderstatus = 'P'")
 def write_links(s):
-    some = s.find_ids("Order", 1, 50).df.select(F.col("local_id").alias("src"), F.lit(1).cast("bigint").alias("dst"))
-    more = s.find_ids("Order", 60, 70).df.select(F.col("local_id").alias("src"), F.lit(-9).cast("bigint").alias("dst"))
+    some = s.query("Order", Equals("priority", "1-urgent")).df.select(F.col("local_id").alias("src"), F.lit(1).cast("bigint").alias("dst"))
+    more = s.query("Order", Equals("status", "P")).df.select(F.col("local_id").alias("src"), F.lit(-9).cast("bigint").alias("dst"))
     changed = add_links(set_link(s, "Order", "customer", some), "Order", "parts", more)
     return ids(changed.query("Order", LinkIs("customer", 1) | LinkIs("parts", -9)))
 
 
+@query("SELECT 3 AS type_id, c_custkey AS id FROM customer WHERE c_acctbal BETWEEN 0.0 AND 5000.0")
+def write_delete_type(s):
+    """Of two subtypes one is deleted: the supertype's entities are the other's."""
+    return typed(delete_type(s, "Supplier").query("Party", Between("balance", 0.0, 5000.0)))
+
+
+@query("SELECT 3 AS type_id, c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def write_rename_type(s):
+    """Under its new name the type has its links, and others' links lead to it still."""
+    changed = rename_type(s, "Customer", "Client")
+    return typed(changed["Client"].intersect(changed.query("Order", Equals("status", "F")).select_distinct("customer")))
+
+
+@query("SELECT doc_id AS id, CASE WHEN lang = 'de' THEN 'Kurz' END AS text FROM documents WHERE source IS NOT NULL")
+def write_blobs(s):
+    changed = set_blob(delete_blob(s, "Document", "text"), "Document", "text", F.when(F.col("lang") == "de", F.lit("Kurz")))
+    return changed.query("Document", Present("source")).blob_texts("text").select(F.col("local_id").alias("id"), "text")
+
+
+@query("SELECT 'name' AS key, count(*) AS n FROM (SELECT c_name FROM customer UNION ALL SELECT c_name || ' II' FROM customer WHERE c_mktsegment = 'BUILDING')")
+def write_unique(s):
+    """Customers that are inserted under names of their own; a name that is there is refused."""
+    building = s.model.types["Customer"].df.where("c_mktsegment = 'BUILDING'").withColumn("c_custkey", -F.col("c_custkey") - 1)
+    changed = insert_entities(s, "Customer", building.withColumn("c_name", F.concat("c_name", F.lit(" II"))))
+    try:
+        insert_entities(s, "Customer", building)
+    except ValueError:
+        return changed["Customer"].size_frame().select(F.lit("name").alias("key"), F.col("size").alias("n"))
+    raise AssertionError("a repeated name was inserted")
+
+
+@query("SELECT 6 AS type_id, o_orderkey AS id, 'parts' AS link, count(DISTINCT l_partkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING count(DISTINCT l_partkey) > 1")
+def link_cardinalities(s):
+    """With at most one part an order, which orders have too many."""
+    t = s.model.types["Order"]
+    one = EntityStore(s.spark, [replace(x, links=tuple(replace(k, cardinality="0..1") if k.name == "parts" else k for k in x.links)) if x is t else x for x in s.model.types.values()])
+    return link_violations(one, "Order").select("type_id", F.col("local_id").alias("id"), "link", "n")
+
+
+# --- single entities, empty sets, catalog ---
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey <> 7")
+def minus_single(s):
+    return ids(s["Customer"].minus(s.single("Customer", 7)))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'")
+def union_with_empty(s):
+    closed = s.query("Order", Equals("status", "F"))
+    return ids(closed.union(s.empty()).minus(s.empty()).union(closed.intersect(s.empty())))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (1, 4, 7, 10, 13)")
+def find_links_of_ids(s):
+    return ids(s["Order"].find_links("customer", s.of_ids("Customer", [13, 1, 4, 7, 10, 7])))
+
+
+@query("SELECT 3 AS type_id, c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey = 7")
+def get_entity(s):
+    return s.entity("Customer", 7).select("type_id", F.col("local_id").alias("id"), F.col("p_name").alias("name"), F.col("p_balance").alias("balance"))
+
+
+@query("""SELECT i AS type_id, n AS name, p AS parent, c AS size FROM (VALUES
+            (0, 'Region', NULL, (SELECT count(*) FROM region)), (1, 'Nation', NULL, (SELECT count(*) FROM nation)), (2, 'Party', NULL, 0), (3, 'Customer', 'Party', (SELECT count(*) FROM customer)),
+            (4, 'Supplier', 'Party', (SELECT count(*) FROM supplier)), (5, 'Part', NULL, (SELECT count(*) FROM part)), (6, 'Order', NULL, (SELECT count(*) FROM orders)),
+            (7, 'Basket', NULL, (SELECT count(DISTINCT l_orderkey) FROM lineitem)), (8, 'Document', NULL, (SELECT count(*) FROM documents)), (9, 'Label', NULL, (SELECT count(*) FROM labels))) AS t(i, n, p, c)""")
+def entity_types(s):
+    return s.catalog()
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey FROM orders")
+def all_is_neutral(s):
+    """All entities AND a condition, then all entities OR it."""
+    return ids(s.query("Order", All() & Equals("status", "p"))).unionByName(ids(s.query("Order", All() | Equals("status", "p"))))
+
+
+@query("SELECT 'none' AS which, true AS empty UNION ALL SELECT 'some', false")
+def is_empty(s):
+    none, some = s.query("Order", Between("total", -2.0, -1.0)), s.query("Order", Equals("status", "F"))
+    return none.is_empty_frame().select(F.lit("none").alias("which"), "empty").unionByName(some.is_empty_frame().select(F.lit("some").alias("which"), "empty"))
+
+
+@query(f"SELECT lower({OPEN}) AS value, count(*) AS n FROM orders WHERE {OPEN} IS NOT NULL GROUP BY 1")
+def counts_by_value(s):
+    return s["Order"].value_counts("open")
+
+
+@query("SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def counts_by_target(s):
+    return s["Order"].target_counts("parts").select(F.col("local_id").alias("id"), "n")
+
+
+# --- links over a hierarchy, opposite links, values along links ---
+
+_PARTY = "(SELECT 3 AS type_id, c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT 4, s_suppkey, s_nationkey, s_acctbal FROM supplier)"
+
+
+@query(f"SELECT type_id, id FROM (SELECT * FROM {_PARTY} ORDER BY type_id, id LIMIT (SELECT count(*) - 4 FROM {_PARTY})) WHERE nation IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def hierarchy_find_links(s):
+    """Of both subtypes, but the last four, those of one region's nations; their ids overlap."""
+    party = s["Party"]
+    return typed(party.minus(party.reverse().take(4)).find_links("nation", s.query("Nation", LinkIs("region", 1))))
+
+
+@query(f"SELECT DISTINCT nation AS id FROM {_PARTY} WHERE balance BETWEEN 0.0 AND 100.0")
+def hierarchy_select_distinct(s):
+    return ids(s.query("Party", Between("balance", 0.0, 100.0)).select_distinct("nation"))
+
+
+@query(f"SELECT nation AS id FROM {_PARTY}")
+def hierarchy_select_many(s):
+    return ids(s["Party"].select_many("nation"))
+
+
+@query(f"SELECT DISTINCT nation AS id FROM {_PARTY} WHERE balance BETWEEN 0.0 AND 100.0")
+def hierarchy_select_many_distinct(s):
+    return ids(s.query("Party", Between("balance", 0.0, 100.0)).select_many_distinct("nation"))
+
+
+@query(f"SELECT nation AS id, type_id AS source_type, id AS source_id FROM {_PARTY}")
+def hierarchy_sources(s):
+    """Where each row of select_many comes from."""
+    return s["Party"].with_sources("nation", distinct=False).select(F.col("local_id").alias("id"), "source_type", "source_id")
+
+
+@query(f"SELECT type_id, id, row_number() OVER (ORDER BY n_name, type_id, id) - 1 AS pos FROM {_PARTY} JOIN nation ON nation = n_nationkey")
+def hierarchy_sort_by_link(s):
+    return s["Party"].sort_by_link("nation", "name").positions().select("type_id", F.col("local_id").alias("id"), F.col("pos").cast("bigint").alias("pos"))
+
+
+@query(f"SELECT type_id, id, row_number() OVER (ORDER BY balance DESC, type_id, id) - 1 AS pos FROM {_PARTY}")
+def hierarchy_sort(s):
+    return s["Party"].sort("balance", ascending=False).positions().select("type_id", F.col("local_id").alias("id"), F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("SELECT c_nationkey AS id FROM customer WHERE c_custkey = 1")
+def hierarchy_links_from(s):
+    return ids(s.links_from("Party", 1, "nation"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def with_opposite_links(s):
+    """Customers with orders, by the orders' links to them."""
+    return ids(s.query("Customer", HasLink("orders")))
+
+
+@query("SELECT c_custkey AS id, o_orderkey AS target, o_orderdate AS date FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN orders ON o_orderkey = k")
+def first_links(s):
+    """The first order of each customer, and its date."""
+    customers = s["Customer"]
+    dates = customers.linked_values("orders", "date").select(F.col("local_id").alias("id"), "date")
+    return customers.first_links("orders").select(F.col("local_id").alias("id"), "target").join(dates, "id").select("id", "target", "date")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN l_orderkey IS NULL THEN 'customer' ELSE 'customer,parts,suppliers' END AS names FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey")
+def link_names(s):
+    return s["Order"].names_present("l").select(F.col("local_id").alias("id"), F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT doc_id AS id, text FROM documents WHERE lang <> 'en'")
+def blob_texts(s):
+    return s.query("Document", HasBlob("text")).blob_texts("text").select(F.col("local_id").alias("id"), "text")
+
+
+@query(f"SELECT DISTINCT {FEW} AS id FROM customer WHERE {FEW} IS NOT NULL")
+def select_linked(s):
+    return ids(s["Customer"].select_linked("home"))
+
+
+@query(ordered(f"SELECT o_orderkey AS id, lower({OPEN}) AS v FROM orders", "v NULLS LAST, id DESC"))
+def sort_marked(s):
+    """A set that is marked as a sort's result keeps its order among ties."""
+    return placed(s["Order"].reverse().as_sort_result().sort("open"))
+
+
+@query(ordered(f"SELECT o_orderkey AS id, lower({OPEN}) AS v, lower(o_orderpriority) AS p, o_custkey AS c, lower(o_orderstatus) AS st FROM orders", "p, v NULLS LAST, c, st, id"))
+def sort_four_of_five(s):
+    """Of five nested sorts the last four count."""
+    out = s["Order"].sort("total")
+    for p in ("status", "custkey", "open", "priority"):
+        out = out.sort(p)
+    return placed(out)
+
+
+@query("SELECT type_id, id, row_number() OVER (ORDER BY v, type_id, id) - 1 AS pos FROM (SELECT 3 AS type_id, c_custkey AS id, -c_acctbal AS v FROM customer UNION ALL SELECT 5, p_partkey, p_retailprice FROM part)")
+def merge_sorted_by_keys(s):
+    merged = s.merge_sorted([s["Customer"], s["Part"]], [-F.col("p_balance"), F.col("p_retailprice")])
+    return merged.positions().select("type_id", F.col("local_id").alias("id"), F.col("pos").cast("bigint").alias("pos"))
+
+
 # --- key/value stores and bitmaps ---
 
 
@@ -472,10 +666,21 @@ def kv_neighbours(s):
     return _prices(s).neighbours()
 
 
-@query("SELECT o_custkey AS key, min(o_totalprice) AS value FROM orders WHERE o_custkey > 100 GROUP BY 1 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey <= 100")
+@query("SELECT o_custkey AS key, min(o_totalprice) AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'")
 def kv_put(s):
     store = KeyValueStore(_prices(s).no_dup())
-    return store.put(s.find_ids("Customer", 0, 100).df.select(F.col("local_id").alias("key"), F.col("p_balance").alias("value"))).df
+    return store.put(s.query("Customer", Equals("segment", "building")).df.select(F.col("local_id").alias("key"), F.col("p_balance").alias("value"))).df
+
+
+@query("SELECT o_custkey AS key, o_totalprice AS value, lag(o_custkey) OVER w AS previous_key, lag(o_totalprice) OVER w AS previous, lead(o_custkey) OVER w AS next_key, lead(o_totalprice) OVER w AS next FROM orders WINDOW w AS (ORDER BY o_custkey, o_totalprice)")
+def kv_steps(s):
+    """A cursor's previous and next pair, across keys."""
+    return _prices(s).steps().select("key", "value", F.col("previous.key").alias("previous_key"), F.col("previous.value").alias("previous"), F.col("next.key").alias("next_key"), F.col("next.value").alias("next"))
+
+
+@query("SELECT o_custkey AS key, min(o_totalprice) AS value FROM orders WHERE o_custkey = 7 GROUP BY 1")
+def kv_get(s):
+    return _prices(s).get(7)
 
 
 @query("SELECT count(DISTINCT o_custkey) AS n FROM orders WHERE o_custkey BETWEEN 10 AND 900")

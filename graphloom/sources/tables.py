@@ -47,7 +47,7 @@ def open_trade_store(spark: SparkSession, at: str) -> EntityStore:
             EntityType("Region", t["region"], "r_regionkey", {"name": "r_name"}),
             EntityType("Nation", t["nation"], "n_nationkey", {"name": "n_name"}, links=(Link("region", "Region", "n_regionkey"), Link("customers", "Customer", edges=t["customer"].select(F.col("c_nationkey").alias("src"), F.col("c_custkey").alias("dst")), cardinality="0..n"))),
             EntityType("Party", links=(Link("nation", "Nation", F.col("nationkey")),), abstract=True),
-            EntityType("Customer", t["customer"].withColumn("nationkey", F.col("c_nationkey")), "c_custkey", {"name": "c_name", "balance": "c_acctbal", "segment": "c_mktsegment", "debtor": F.col("c_acctbal") < 0}, links=(Link("home", "Nation", few),), parent="Party", indices=(Index(("name",)),)),
+            EntityType("Customer", t["customer"].withColumn("nationkey", F.col("c_nationkey")), "c_custkey", {"name": "c_name", "balance": "c_acctbal", "segment": "c_mktsegment", "debtor": F.col("c_acctbal") < 0}, links=(Link("home", "Nation", few), Link("orders", "Order", opposite="customer", cardinality="0..n")), parent="Party", indices=(Index(("name",)),)),
             EntityType("Supplier", t["supplier"].withColumn("nationkey", F.col("s_nationkey")), "s_suppkey", {"name": "s_name", "balance": "s_acctbal"}, parent="Party"),
             EntityType("Part", t["part"], "p_partkey", {c[2:]: c for c in own(t["part"], "p_partkey")}),
             EntityType(

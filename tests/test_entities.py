@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators.entities import EntityStore
-from graphloom.operators.writes import add_entities, add_links, delete_entities, delete_links, delete_property, delete_type, rename_type, set_blob, set_link, set_property, unique_key_violations
+from graphloom.operators.writes import add_entities, add_links, delete_entities, delete_links, delete_property, delete_type, insert_entities, link_violations, rename_type, set_blob, set_link, set_property, unique_key_violations
 from graphloom.plans.model import EntityType, Index, Link, Model
 from graphloom.plans.predicates import All, And, Between, Contains, Equals, HasBlob, HasLink, LinkIn, LinkIs, LinkTo, Or, Present, StartsWith
 from graphloom.streaming import matching
@@ -183,8 +183,7 @@ def test_hierarchy(store):
 
 def test_counts(store):
     s = store.query("Issue", Equals("name", "test issue #3"))
-    assert s.count() == -1 and s.rough_count() == -1
-    assert s.rough_size() == 10 and s.count() == 10
+    assert s.size() == 10 and "test issue #3" in s.describe()
     assert not s.is_empty() and s.contains(0, 13) and not s.contains(0, 14)
     assert s.values("deleted").where("deleted IS NULL").count() == 0
 
@@ -212,6 +211,52 @@ def test_writes(spark, store):
     assert unique_key_violations(store, "Issue", ["size", "full"]).isEmpty()
 
 
+def test_links_between_types(spark):
+    """Entities of two types with one id, and links that lead to either."""
+    cats, dogs = (spark.createDataFrame([(1, x), (2, x + "2")], "id long, name string") for x in ("cat", "dog"))
+    likes = spark.createDataFrame([("Cat", 1, "Dog", 1), ("Cat", 1, "Cat", 2), ("Dog", 1, "Cat", 1), ("Dog", 1, "Cat", 1), ("Dog", 2, "Dog", 2)], "src_type string, src long, dst_type string, dst long")
+    boss = spark.createDataFrame([(1, 1, "Dog"), (2, 1, "Cat")], "id long, boss long, kind string")
+    animal = EntityType("Animal", links=(Link("likes", "Animal", edges=likes, cardinality="0..n"), Link("liked", "Animal", opposite="likes", cardinality="0..n")), abstract=True)
+    s = EntityStore(spark, [animal, EntityType("Cat", cats, "id", {"name": "name"}, parent="Animal"), EntityType("Dog", dogs, "id", {"name": "name"}, parent="Animal"), EntityType("Man", boss, "id", links=(Link("boss", "Animal", "boss", target_kind="kind", cardinality="1"),))])
+    pairs = lambda x: sorted(map(tuple, x.df.select("type_id", "local_id").collect()))
+    assert sorted(map(tuple, s["Animal"].with_sources("likes", distinct=False).collect()), key=str) == sorted([(2, 1, 1, 1), (1, 2, 1, 1), (1, 1, 2, 1), (2, 2, 2, 2), (None, None, 1, 2)], key=str)
+    assert pairs(s["Animal"].find_links("likes", s.query("Cat"))) == [(1, 1), (2, 1)]
+    assert pairs(s["Dog"].find_links("likes", s.query("Dog"))) == [(2, 2)] and pairs(s["Cat"].select_many_distinct("liked").exclude_null()) == [(1, 1), (2, 1)]
+    assert pairs(s.query("Man", LinkTo("boss", Equals("name", "dog")))) == [(3, 1)] and pairs(s["Man"].select_distinct("boss")) == [(1, 1), (2, 1)]
+    assert placed(s["Man"].sort_by_link("boss", "name", ascending=False)) == [1, 2]
+    assert pairs(s.links_from("Animal", 1, "likes")) == [(1, 2), (2, 1)] and pairs(s.links_from("Dog", 1, "likes")) == [(1, 1)]
+    assert [tuple(r) for r in s["Cat"].first_links("likes").where("local_id = 1").collect()] == [(1, 1, 1, 2)]
+    assert {tuple(r) for r in s["Man"].linked_values("boss", "name").collect()} == {(3, 1, "dog"), (3, 2, "cat")}
+    assert {(r.type_id, r.local_id, tuple(r.names)) for r in s["Animal"].names_present("l").collect()} == {(1, 1, ("liked", "likes")), (1, 2, ("liked",)), (2, 1, ("liked", "likes")), (2, 2, ("liked", "likes"))}
+    assert {tuple(r) for r in s["Animal"].target_counts("likes").collect()} == {(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1)}
+    assert delete_entities(s, "Cat", s.find_ids("Cat", 1, 1).df)["Cat"].size() == 1
+    assert link_violations(s, "Man").isEmpty() and s.model.link_names() == ["likes", "liked", "boss"]
+    with pytest.raises(KeyError):
+        s.entity("Cat", 3)
+    with pytest.raises(ValueError):
+        EntityStore(spark, [animal, EntityType("Cat", cats, "id", parent="Animal"), EntityType("Dog", dogs, "id", parent="Animal"), EntityType("Man", boss, "id", links=(Link("boss", "Animal", "boss"),))])["Man"].size()
+
+
+def test_insert_with_unique_keys(spark, store):
+    users = store.model.types["User"]
+    s = EntityStore(spark, [EntityType("User", users.df, "id", users.properties, indices=(Index(("login",)),))])
+    row = lambda i, login: spark.createDataFrame([(i, login)], "id long, login string")
+    assert insert_entities(s, "User", row(50, "new"))["User"].size() == 11 and insert_entities(s, "User", row(3, "user3"))["User"].size() == 10
+    for wrong in (row(50, "USER4".lower()), row(50, None)):
+        with pytest.raises(ValueError):
+            insert_entities(s, "User", wrong)
+
+
+def test_scratch_is_removed(spark):
+    from graphloom.sources.shared import scratch, spool
+
+    with scratch(spark):
+        kept = spool(spark.range(5), "some")
+        assert kept.count() == 5
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        kept.count()
+
+
 def test_predicate_over_a_stream(spark, store, tmp_path):
     t = store.model.types["User"]
     t.df.write.parquet(str(tmp_path / "in"))

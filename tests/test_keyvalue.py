@@ -1,7 +1,7 @@
 import pytest
 
 from graphloom.operators.bitmap import Bitmap
-from graphloom.operators.keyvalue import Environment, KeyValueStore
+from graphloom.operators.keyvalue import KeyValueStore
 
 
 def rows(df):
@@ -36,12 +36,11 @@ def test_writes(spark, kv):
     assert single.delete(new).count().first()[0] == 2
 
 
-def test_environment(kv):
-    env = Environment({"b": kv, "a": kv})
-    assert env.names() == ["a", "b"] and env.exists("a")
-    env.truncate("a")
-    env.remove("b")
-    assert env.stores["a"].count().first()[0] == 0 and env.names() == ["a"]
+def test_steps(spark, kv):
+    assert sorted(rows(kv.steps())) == [(1, "a", None, (1, "b")), (1, "b", (1, "a"), (3, "c")), (3, "c", (1, "b"), (5, "d")), (5, "d", (3, "c"), None)]
+    assert sorted(rows(kv.neighbours()), key=str) == [(1, "a", None, "b"), (1, "b", "a", None), (3, "c", None, None), (5, "d", None, None)]
+    hot = KeyValueStore(spark.range(5000).selectExpr("7 AS key", "id AS value"), duplicates=True)
+    assert all(r["next"] == (r["value"] + 1 if r["value"] < 4999 else None) for r in hot.neighbours().collect())
 
 
 def test_bitmap(spark):
