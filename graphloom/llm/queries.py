@@ -37,7 +37,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rule = lambda r: F.struct(*[F.lit(x).alias(n) for n, x in zip(("host", "path", "verdict"), r, strict=True)])
+    rules = spark.range(1).select(F.inline(F.array(*map(rule, URL_RULES))))
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 

@@ -242,19 +242,20 @@ def test_urls_without_rows(spark):
 
 def leaks_by_force(data, items):
     core = lambda t: [w for w in re.split("[\x00-/:-@\\[-`{-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+    runs = lambda w, n: [tuple(w[j : j + n]) for j in range(len(w) - n + 1)]
     out = []
     for i, t, _ in data:
         w = core(t)
+        sets = {n: set(runs(w, n)) for n in range(1, 6)}
         for k, x in items:
             own = core(x)
             n = min(5, len(own))
             if own:
-                have = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
-                want = {tuple(own[j : j + n]) for j in range(len(own) - n + 1)}
-                under = [any(tuple(own[j : j + n]) in have for j in range(max(0, at - n + 1), min(at, len(own) - n) + 1)) for at in range(len(own))]
+                want = runs(own, n)
+                under = [any(want[j] in sets[n] for j in range(max(0, at - n + 1), min(at, len(own) - n) + 1)) for at in range(len(own))]
                 q = len(core(" ".join(re.split(r"(?<=[.!?])\s+(?=\S)", x.strip())[:-1]))) or len(own)
                 halves = [sum(part) >= 0.5 * len(part) for part in (under[:q], under[q:]) if part]
-                if len(have & want) >= 0.8 * len(want) and all(halves):
+                if len(sets[n] & set(want)) >= 0.8 * len(set(want)) and all(halves):
                     out.append((i, k))
     return sorted(out)
 
@@ -320,7 +321,7 @@ def test_wand_finds_what_full_scoring_finds():
 def test_retrieval_reaches_every_leak():
     """Items whose rarest words, as many as a leak may lack, are replaced where that costs the fewest shingles."""
     r = random.Random(32)
-    items = [(k, prose(70_000 + k, 12 + k % 120)) for k in range(0, 400, 5)]
+    items = [(k, prose(70_000 + k, 12 + k % 120)) for k in range(0, 400, 12)]
     missed = leaked = 0
     for index in D.build(items):
         for k, item in enumerate(index.ids):
@@ -338,4 +339,4 @@ def test_retrieval_reaches_every_leak():
                         score = sum(impact[t] for t in set(passage.tolist()) if t in impact)
                         leaked += 1
                         missed += score < index.score - 1e-9
-    assert leaked > 1000 and not missed
+    assert leaked > 400 and not missed
