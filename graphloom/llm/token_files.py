@@ -123,10 +123,9 @@ class Encoder:
         inside = at_key < len(self.keys)
         known[inside] = self.keys[at_key[inside]] == keys[inside]
         fresh = np.flatnonzero(~known)
-        own = body.tobytes()
         if len(fresh):
             n = len(self.starts)
-            self._add([own[start[i] : end[i]] for i in first[fresh]])
+            self._add(body, start[first[fresh]], end[first[fresh]])
             self.keys = np.insert(self.keys, at_key[fresh], keys[fresh])
             self.slot = np.insert(self.slot, at_key[fresh], np.arange(n, n + len(fresh)))
         each = self.slot[np.searchsorted(self.keys, keys)][which]
@@ -136,24 +135,33 @@ class Encoder:
         other = np.flatnonzero(~same)
         if len(other):
             n = len(self.starts)
-            self._add([own[start[i] : end[i]] for i in other])
+            self._add(body, start[other], end[other])
             each[other] = np.arange(n, n + len(other))
         long = self.long[each]
         total = np.concatenate([[0], np.cumsum(long)])
         ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - self.starts[each], long)]
         return ids, np.diff(total[np.searchsorted(start, at)])
 
-    def _add(self, found: list[bytes]) -> None:
-        """Plain pieces are encoded a thousand at once, line feeds between them: a line feed is then a token of its own."""
-        sizes = np.array([len(p) for p in found])
+    def _add(self, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Plain pieces, a word or a space and a word, are encoded a thousand at once, line feeds between them: a line feed is then a token of its own."""
+        own = body.tobytes()
+        found = [own[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        sizes = end - start
         self.at, self.size = np.concatenate([self.at, len(self.bytes) + np.cumsum(sizes) - sizes]), np.concatenate([self.size, sizes])
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(found), np.uint8)])
-        pieces, plain, rest = [p.decode("utf-8", "replace") for p in found], [], []
-        for i, p in enumerate(pieces):
-            (plain if len(self.line) == 1 and len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and (p[0] == " " or not p[0].isspace()) and not any(t in p for t in self.added) else rest).append(i)
+        blank = _SPACE[body]
+        before = np.concatenate([[0], np.cumsum(blank | _odd_space(body))])
+        lone = (before[end] == before[start + 1]) & ((body[start] == 32) & (sizes > 1) | (before[start + 1] == before[start]))
+        if len(self.line) != 1:
+            lone[:] = False
+        for token in [t.encode() for t in self.added]:
+            if token in own:
+                lone &= np.array([token not in p for p in found])
+        plain, rest = np.flatnonzero(lone).tolist(), np.flatnonzero(~lone).tolist()
+        text = lambda p: p.decode("utf-8", "replace")
         order, ids, long = [], [self.flat], []
         runs = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-        for run, got in zip(runs, self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in r]) for r in runs], add_special_tokens=False), strict=True):
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast([text(b"\n".join([found[i] for i in r])) for r in runs], add_special_tokens=False), strict=True):
             flat = np.array(got.ids, np.uint32)
             lines = flat == self.line[0]
             at = np.concatenate([[-1], np.flatnonzero(lines), [len(flat)]])
@@ -163,7 +171,7 @@ class Encoder:
                 long.append(np.diff(at) - 1)
             else:
                 rest += run
-        for i, got in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+        for i, got in zip(rest, self.tokenizer.encode_batch_fast([text(found[i]) for i in rest], add_special_tokens=False), strict=True):
             order.append(i)
             ids.append(np.array(got.ids, np.uint32))
             long.append(np.array([len(got.ids)]))
