@@ -28,7 +28,7 @@ def exact_duplicates(docs: DataFrame, shortest: int = SHORTEST, longest: int = L
     are compared, so no document moves as a whole and a group of any size is summed within tasks.
 
     Of equal texts the longest original stays, then the smallest doc_id (null comes last).  A null or empty text is an empty recipe:
-    such rows are equal to each other.  Of rows that tie in everything, repeated rows, all say kept if their id is the kept one.  Columns
+    such rows are equal to each other.  A text of any length is cut into chunks and compared by all of them; no rows give no rows.  Of rows that tie in everything, repeated rows, all say kept if their id is the kept one.  Columns
     beyond doc_id and text are ignored.
     """
     ws = WS + "+"

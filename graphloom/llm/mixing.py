@@ -90,7 +90,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3)
     """doc_id, size, source_size, target and copies (how often the mix takes it, at most `most`) of every row of docs(doc_id, text, source).
 
     A null text has size 0; a null source is a source of its own, the last.  Rows that agree in id and text have one hash and are
-    taken alike.  No rows give no rows.  Other columns are ignored.
+    taken alike.  A long text counts as a whole, and may be the one that a budget ends in.  No rows give no rows.  Other columns are ignored.
     """
     rows = spool(measured(docs, F.col("doc_id")), "sizes")
     return _copies(rows, spool(thresholds(rows, weights, most), "thresholds")).select("doc_id", "size", "source_size", "target", "copies")
