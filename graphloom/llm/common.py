@@ -89,8 +89,12 @@ def hash_words(body: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) ->
 
 def _blocks(body: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The 8-byte blocks of spans of bytes, one span's behind the other's and zeros behind its end; each span's first block and how many it has."""
-    padded = np.append(body, np.zeros(8, np.uint8))
-    words = np.ndarray(len(body) + 1, "<u8", padded, strides=(1,))
+    if not len(size):
+        return np.zeros(0, np.uint64), size, size
+    # only the part that the spans lie in is copied, with zeros behind it
+    low, high = int(start.min()), int((start + size).max())
+    start = start - low
+    words = np.ndarray(high - low + 1, "<u8", np.append(body[low:high], np.zeros(8, np.uint8)), strides=(1,))
     n = (size + 7) >> 3
     first = np.cumsum(n) - n
     if len(n) and n.max() == 1:

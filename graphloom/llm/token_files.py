@@ -90,6 +90,23 @@ def piece_starts(body: np.ndarray, at: np.ndarray, added: Sequence[bytes] = ())
     return np.flatnonzero(cut)
 
 
+class Column:
+    """An array that grows at its end; its room doubles, so that appending costs what is appended."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def append(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n + 2 * len(values), self.room.dtype)])
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Encoder:
     """Encodes texts by their pieces; a piece's bytes and ids are kept for the next time it comes."""
 
@@ -100,9 +117,28 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and each one's place in what follows
-        self.flat, self.starts, self.long = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids
-        self.bytes, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the pieces themselves
+        # hashes in order, and each one's place in the columns: those kept for long, and those that came since
+        self.old, self.new = ((np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2))
+        self.flat, self.starts, self.long = Column(np.uint32), Column(np.int64), Column(np.int64)  # ids
+        self.bytes, self.at, self.size = Column(np.uint8), Column(np.int64), Column(np.int64)  # the pieces themselves
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for a new one."""
+        out = np.full(len(keys), -1)
+        for known, slot in (self.old, self.new):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = slot[at[hit]]
+        return out
+
+    def _keep(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        at = np.searchsorted(self.new[0], keys)
+        self.new = np.insert(self.new[0], at, keys), np.insert(self.new[1], at, slots)
+        if len(self.new[0]) > max(20_000, len(self.old[0]) // 4):
+            at = np.searchsorted(self.old[0], self.new[0])
+            self.old = np.insert(self.old[0], at, self.new[0]), np.insert(self.old[1], at, self.new[1])
+            self.new = self.new[0][:0], self.new[1][:0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one behind the other, and how many each text has."""
@@ -115,31 +151,26 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         start = piece_starts(body, at, [t.encode() for t in self.added])
         end = np.append(start[1:], len(body))
-        if len(self.keys) > _KEPT or len(self.bytes) > _KEPT_BYTES:
+        if self.starts.n > _KEPT or self.bytes.n > _KEPT_BYTES:
             self._reset()
         keys, first, which = np.unique(hash_spans(body, start, end), return_index=True, return_inverse=True)
-        at_key = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at_key < len(self.keys)
-        known[inside] = self.keys[at_key[inside]] == keys[inside]
-        fresh = np.flatnonzero(~known)
+        slot = self._find(keys)
+        fresh = np.flatnonzero(slot < 0)
         if len(fresh):
-            n = len(self.starts)
+            slot[fresh] = np.arange(self.starts.n, self.starts.n + len(fresh))
             self._add(body, start[first[fresh]], end[first[fresh]])
-            self.keys = np.insert(self.keys, at_key[fresh], keys[fresh])
-            self.slot = np.insert(self.slot, at_key[fresh], np.arange(n, n + len(fresh)))
-        each = self.slot[np.searchsorted(self.keys, keys)][which]
+            self._keep(keys[fresh], slot[fresh])
+        each = slot[which]
         # a piece counts as known only if its bytes are those kept
-        same = self.size[each] == end - start
-        same[same] = same_spans(body, start[same], self.bytes, self.at[each[same]], (end - start)[same])
+        same = self.size.values[each] == end - start
+        same[same] = same_spans(body, start[same], self.bytes.values, self.at.values[each[same]], (end - start)[same])
         other = np.flatnonzero(~same)
         if len(other):
-            n = len(self.starts)
+            each[other] = np.arange(self.starts.n, self.starts.n + len(other))
             self._add(body, start[other], end[other])
-            each[other] = np.arange(n, n + len(other))
-        long = self.long[each]
+        long = self.long.values[each]
         total = np.concatenate([[0], np.cumsum(long)])
-        ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - self.starts[each], long)]
+        ids = self.flat.values[np.arange(total[-1]) - np.repeat(total[:-1] - self.starts.values[each], long)]
         return ids, np.diff(total[np.searchsorted(start, at)])
 
     def _add(self, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
@@ -147,8 +178,9 @@ class Encoder:
         own = body.tobytes()
         found = [own[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
         sizes = end - start
-        self.at, self.size = np.concatenate([self.at, len(self.bytes) + np.cumsum(sizes) - sizes]), np.concatenate([self.size, sizes])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(found), np.uint8)])
+        self.at.append(self.bytes.n + np.cumsum(sizes) - sizes)
+        self.size.append(sizes)
+        self.bytes.append(np.frombuffer(b"".join(found), np.uint8))
         blank = _SPACE[body]
         before = np.concatenate([[0], np.cumsum(blank | _odd_space(body))])
         lone = (before[end] == before[start + 1]) & ((body[start] == 32) & (sizes > 1) | (before[start + 1] == before[start]))
@@ -159,7 +191,7 @@ class Encoder:
                 lone &= np.array([token not in p for p in found])
         plain, rest = np.flatnonzero(lone).tolist(), np.flatnonzero(~lone).tolist()
         text = lambda p: p.decode("utf-8", "replace")
-        order, ids, long = [], [self.flat], []
+        order, ids, long = [], [], []
         runs = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
         for run, got in zip(runs, self.tokenizer.encode_batch_fast([text(b"\n".join([found[i] for i in r])) for r in runs], add_special_tokens=False), strict=True):
             flat = np.array(got.ids, np.uint32)
@@ -176,10 +208,11 @@ class Encoder:
             ids.append(np.array(got.ids, np.uint32))
             long.append(np.array([len(got.ids)]))
         size = np.concatenate(long)
-        start = len(self.flat) + np.cumsum(size) - size
+        start = self.flat.n + np.cumsum(size) - size
         back = np.argsort(np.array(order))
-        self.starts, self.long = np.concatenate([self.starts, start[back]]), np.concatenate([self.long, size[back]])
-        self.flat = np.concatenate(ids)
+        self.starts.append(start[back])
+        self.long.append(size[back])
+        self.flat.append(np.concatenate(ids))
 
 
 _encoders: dict[str, Encoder] = {}
