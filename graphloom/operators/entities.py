@@ -105,6 +105,32 @@ class EntityStore:
             return EntitySet(self, name, frame.df.where(condition), predicate=predicate, full=True)
         return self._joined(name, predicate)
 
+    def explain(self, name: str, predicate: P.Predicate) -> DataFrame:
+        """One row for each node of a predicate's tree, parents first: place, depth, type, node, and how many entities of the type it holds for.
+
+        Nodes that are filters are counted together, in one scan of each type; the others by one join each.
+        """
+        nodes: list[tuple[int, int, str, P.Predicate]] = []
+
+        def walk(kind: str, p: P.Predicate, depth: int) -> None:
+            nodes.append((len(nodes), depth, kind, p))
+            link = self.frame(kind).link(p.link) if isinstance(p, P.LinkTo) else None
+            for child in () if isinstance(p, P.LinkTo) and link is None else p.children():
+                walk(link.target if link else kind, child, depth + 1)
+
+        walk(name, predicate, 0)
+        row = lambda at, depth, kind, p, n: F.struct(F.lit(at).alias("place"), F.lit(depth).alias("depth"), F.lit(kind).alias("type"), F.lit(p.label()).alias("node"), n.alias("n"))
+        parts = []
+        for kind in dict.fromkeys(k for _, _, k, _ in nodes):
+            frame = self.frame(kind)
+            own = [(x, x[3].column(frame)) for x in nodes if x[2] == kind]
+            plain = [(x, c) for x, c in own if c is not None]
+            if plain:
+                counts = frame.df.agg(*[F.count_if(c).alias(f"n{x[0]}") for x, c in plain])
+                parts.append(counts.select(F.inline(F.array(*[row(*x, F.col(f"n{x[0]}")) for x, _ in plain]))))
+            parts += [self.query(kind, x[3]).size_frame().select(F.inline(F.array(row(*x, F.col("size"))))) for x, c in own if c is None]
+        return reduce(DataFrame.unionByName, parts)
+
     def _joined(self, name: str, p: P.Predicate) -> EntitySet:
         if isinstance(p, P.And):
             plain = [x for x in p.parts if x.column(self.frame(name)) is not None]

@@ -42,6 +42,13 @@ class Predicate:
     def describe(self) -> str:
         return repr(self)
 
+    def children(self) -> tuple[Predicate, ...]:
+        return ()
+
+    def label(self) -> str:
+        """The node without its children."""
+        return repr(self) if not self.children() else type(self).__name__
+
 
 @dataclass(frozen=True)
 class All(Predicate):
@@ -216,6 +223,12 @@ class LinkTo(Predicate):
     def column(self, frame: Frame) -> Column | None:
         return Never() if frame.link(self.link) is None else None
 
+    def children(self) -> tuple[Predicate, ...]:
+        return (self.inner,)
+
+    def label(self) -> str:
+        return f"LinkTo({self.link!r})"
+
 
 @dataclass(frozen=True)
 class And(Predicate):
@@ -224,6 +237,9 @@ class And(Predicate):
     def column(self, frame: Frame) -> Column | None:
         return _fold_columns([p.column(frame) for p in self.parts], lambda a, b: a & b)
 
+    def children(self) -> tuple[Predicate, ...]:
+        return self.parts
+
 
 @dataclass(frozen=True)
 class Or(Predicate):
@@ -232,6 +248,9 @@ class Or(Predicate):
     def column(self, frame: Frame) -> Column | None:
         return _fold_columns([p.column(frame) for p in self.parts], lambda a, b: a | b)
 
+    def children(self) -> tuple[Predicate, ...]:
+        return self.parts
+
 
 @dataclass(frozen=True)
 class Not(Predicate):
@@ -243,6 +262,9 @@ class Not(Predicate):
         c = self.inner.column(frame)
         return None if c is None else ~F.coalesce(c, F.lit(False))
 
+    def children(self) -> tuple[Predicate, ...]:
+        return (self.inner,)
+
 
 def _fold_columns(columns: Sequence[Column | None], how: Callable[[Column, Column], Column]) -> Column | None:
     out = columns[0]

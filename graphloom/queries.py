@@ -6,17 +6,17 @@ Queries whose result is ordered carry `pos`, the place of each row from 0.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import id_parts, id_text, set_contains, set_max, set_min, set_minus, set_size
 from .operators.bitmap import Bitmap
-from .operators.entities import EntitySet, EntityStore
+from .operators.entities import EntitySet, EntityStore, Frame
 from .operators.keyvalue import KeyValueStore
 from .operators.writes import add_links, delete_blob, delete_entities, delete_type, insert_entities, link_violations, rename_type, set_blob, set_link, set_property, unique_key_violations
-from .plans.predicates import All, Between, Contains, Equals, HasBlob, HasLink, LinkIs, LinkTo, Present, StartsWith
+from .plans.predicates import All, Between, Contains, Equals, HasBlob, HasLink, LinkIs, LinkTo, Predicate, Present, StartsWith
 from .sources.tables import trade_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,6 +418,46 @@ def newest_of_segment(s):
 # --- hierarchy, keys, writes ---
 
 
+# --- of a user's own ---
+
+
+@dataclass(frozen=True)
+class LongerThan(Predicate):
+    """A text property has more than n characters."""
+
+    name: str
+    n: int
+
+    def column(self, frame: Frame) -> Column:
+        return F.char_length(frame.prop(self.name)) > self.n
+
+
+@query("SELECT p_partkey AS id FROM part WHERE length(p_type) > 18 AND NOT coalesce(length(p_name) > 25, false)")
+def own_predicate(s):
+    return ids(s.query("Part", LongerThan("type", 18) & ~LongerThan("name", 25)))
+
+
+@query(ordered("SELECT o_orderkey AS id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 30 WHEN '2' THEN 20 WHEN '3' THEN 10 END AS k FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2', '3')", "k, id"))
+def own_type_sorted(s):
+    """A type with an order of its own is a property whose values keep that order: here urgency, greatest for the first priority."""
+    level = F.substring("o_orderpriority", 1, 1)
+    urgency = F.when(level == "1", 30).when(level == "2", 20).when(level == "3", 10).otherwise(0)
+    return placed(set_property(s, "Order", "urgency", urgency).query("Order", Between("urgency", 10, 30)).sort("urgency"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderstatus = 'F' AS f, o_custkey IN (SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building') AS b FROM orders)
+       SELECT 0 AS place, 0 AS depth, 'Order' AS type, 'And' AS node, (SELECT count(*) FROM o WHERE f AND NOT b) AS n
+       UNION ALL SELECT 1, 1, 'Order', 'Equals(name=''status'', value=''F'')', (SELECT count(*) FROM o WHERE f)
+       UNION ALL SELECT 2, 1, 'Order', 'Not', (SELECT count(*) FROM o WHERE NOT b)
+       UNION ALL SELECT 3, 2, 'Order', 'LinkTo(''customer'')', (SELECT count(*) FROM o WHERE b)
+       UNION ALL SELECT 4, 3, 'Customer', 'Equals(name=''segment'', value=''building'')', (SELECT count(*) FROM customer WHERE lower(c_mktsegment) = 'building')"""
+)
+def explained(s):
+    """How many entities each node of a tree holds for."""
+    return s.explain("Order", Equals("status", "F") & ~LinkTo("customer", Equals("segment", "building")))
+
+
 @query("SELECT 3 AS type_id, c_custkey AS id FROM customer WHERE c_acctbal BETWEEN -100.0 AND 3000.0 UNION ALL SELECT 4, s_suppkey FROM supplier WHERE s_acctbal BETWEEN -100.0 AND 3000.0")
 def hierarchy_union(s):
     return typed(s.query("Party", Between("balance", -100.0, 3000.0)))

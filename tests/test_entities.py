@@ -1,9 +1,12 @@
 """Semantics on small hand-made entities."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators.entities import EntityStore
+from graphloom.operators.jobs import Cancelled, cancelling
 from graphloom.operators.writes import add_entities, add_links, delete_entities, delete_links, delete_property, delete_type, insert_entities, link_violations, rename_type, set_blob, set_link, set_property, unique_key_violations
 from graphloom.plans.model import EntityType, Index, Link, Model
 from graphloom.plans.predicates import All, And, Between, Contains, Equals, HasBlob, HasLink, LinkIn, LinkIs, LinkTo, Or, Present, StartsWith
@@ -265,3 +268,25 @@ def test_predicate_over_a_stream(spark, store, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("matched").count() == 10
+
+
+def test_explain_counts_every_node(store):
+    rows = {r.place: r for r in store.explain("Issue", Equals("half", "d2") | LinkTo("assignee", ~Equals("login", "user1")) | LinkTo("nothing", Equals("x", 1))).collect()}
+    assert [(rows[i].depth, rows[i].type, rows[i].node, rows[i].n) for i in range(len(rows))] == [
+        (0, "Issue", "Or", 3), (1, "Issue", "Equals(name='half', value='d2')", 1), (1, "Issue", "LinkTo('assignee')", 3),
+        (2, "User", "Not", 9), (3, "User", "Equals(name='login', value='user1')", 1), (1, "Issue", "LinkTo('nothing')", 0),
+    ]
+
+
+def test_cancelling(spark):
+    slow = lambda: spark.range(0, 1 << 40, 1, 4).selectExpr("sum(hash(id) % 7)").collect()
+    began = time.monotonic()
+    with pytest.raises(Cancelled), cancelling(spark, lambda: time.monotonic() > began + 1, every=0.1):
+        slow()
+    assert time.monotonic() < began + 60
+    with pytest.raises(Cancelled, match="lost"), cancelling(spark, lambda: {}["lost"], every=0.1):
+        slow()
+    with cancelling(spark, lambda: False, every=0.1):
+        assert spark.range(10).count() == 10
+    with pytest.raises(ZeroDivisionError), cancelling(spark, lambda: False):
+        raise ZeroDivisionError
