@@ -26,6 +26,9 @@ VOCABULARY = "byte_bpe_50k.json"
 _KEPT, _KEPT_BYTES = 1_500_000, 64 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: bytes that may be, or begin, other white space
+_MAYBE_ODD = np.zeros(256, bool)
+_MAYBE_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def bits_for(vocabulary: int) -> int:
@@ -57,17 +60,20 @@ def load_tokenizer(path: str):
 
 
 def _odd_space(body: np.ndarray) -> np.ndarray:
-    """Where a byte is, or begins, white space other than space, tab, line feed, vertical tab, form feed and carriage return."""
-    b, c, d = body, np.append(body[1:], 0), np.append(body[2:], [0, 0])[: len(body)]
+    """The places, ascending, where a byte is, or begins, white space other than space, tab, line feed, vertical tab, form feed and carriage return."""
+    at = np.flatnonzero(_MAYBE_ODD[body])
+    # a character of several bytes doesn't end behind the texts
+    b, c, d = body[at], np.take(body, at + 1, mode="clip"), np.take(body, at + 2, mode="clip")
     low = (b >= 0x1C) & (b <= 0x1F) | (b == 0xC2) & ((c == 0x85) | (c == 0xA0))
-    return low | (b == 0xE1) & (c == 0x9A) & (d == 0x80) | (b == 0xE2) & (c == 0x80) & ((d <= 0x8A) | (d == 0xA8) | (d == 0xA9) | (d == 0xAF)) | (b == 0xE2) & (c == 0x81) & (d == 0x9F) | (b == 0xE3) & (c == 0x80) & (d == 0x80)
+    three = (b == 0xE1) & (c == 0x9A) & (d == 0x80) | (b == 0xE2) & (c == 0x80) & ((d <= 0x8A) | (d == 0xA8) | (d == 0xA9) | (d == 0xAF)) | (b == 0xE2) & (c == 0x81) & (d == 0x9F) | (b == 0xE3) & (c == 0x80) & (d == 0x80)
+    return at[low | three]
 
 
-def piece_starts(body: np.ndarray, at: np.ndarray, added: Sequence[bytes] = ()) -> np.ndarray:
+def piece_starts(body: np.ndarray, at: np.ndarray, odd: np.ndarray, added: Sequence[bytes] = ()) -> np.ndarray:
     """Where texts may be cut without changing any token, and where they start.
 
     The tokenizer cuts before a single space or line feed between other characters, and behind such a line feed.  A text with white space of
-    other kinds, or with one of the tokens added to the vocabulary, stays whole.
+    other kinds (at the places odd), or with one of the tokens added to the vocabulary, stays whole.
     """
     space = _SPACE[body]
     inner = np.zeros(len(body), bool)
@@ -77,7 +83,7 @@ def piece_starts(body: np.ndarray, at: np.ndarray, added: Sequence[bytes] = ())
     inner[at[1:][full] - 1] = False
     cut = inner & ((body == 32) | (body == 10))
     cut[1:] |= (inner & (body == 10))[:-1]
-    for i in np.unique(np.searchsorted(at, np.flatnonzero(_odd_space(body)), "right") - 1):
+    for i in np.unique(np.searchsorted(at, odd, "right") - 1):
         cut[at[i] : at[i + 1]] = False
     own = body.tobytes() if added else b""
     for token in added:
@@ -149,7 +155,8 @@ class Encoder:
     def _encode(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(body):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
-        start = piece_starts(body, at, [t.encode() for t in self.added])
+        odd = _odd_space(body)
+        start = piece_starts(body, at, odd, [t.encode() for t in self.added])
         end = np.append(start[1:], len(body))
         if self.starts.n > _KEPT or self.bytes.n > _KEPT_BYTES:
             self._reset()
@@ -158,7 +165,7 @@ class Encoder:
         fresh = np.flatnonzero(slot < 0)
         if len(fresh):
             slot[fresh] = np.arange(self.starts.n, self.starts.n + len(fresh))
-            self._add(body, start[first[fresh]], end[first[fresh]])
+            self._add(body, odd, start[first[fresh]], end[first[fresh]])
             self._keep(keys[fresh], slot[fresh])
         each = slot[which]
         # a piece counts as known only if its bytes are those kept
@@ -167,13 +174,13 @@ class Encoder:
         other = np.flatnonzero(~same)
         if len(other):
             each[other] = np.arange(self.starts.n, self.starts.n + len(other))
-            self._add(body, start[other], end[other])
+            self._add(body, odd, start[other], end[other])
         long = self.long.values[each]
         total = np.concatenate([[0], np.cumsum(long)])
         ids = self.flat.values[np.arange(total[-1]) - np.repeat(total[:-1] - self.starts.values[each], long)]
         return ids, np.diff(total[np.searchsorted(start, at)])
 
-    def _add(self, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def _add(self, body: np.ndarray, odd: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Plain pieces, a word or a space and a word, are encoded a thousand at once, line feeds between them: a line feed is then a token of its own."""
         own = body.tobytes()
         found = [own[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
@@ -182,7 +189,8 @@ class Encoder:
         self.size.append(sizes)
         self.bytes.append(np.frombuffer(b"".join(found), np.uint8))
         blank = _SPACE[body]
-        before = np.concatenate([[0], np.cumsum(blank | _odd_space(body))])
+        blank[odd] = True
+        before = np.concatenate([[0], np.cumsum(blank)])
         lone = (before[end] == before[start + 1]) & ((body[start] == 32) & (sizes > 1) | (before[start + 1] == before[start]))
         if len(self.line) != 1:
             lone[:] = False
