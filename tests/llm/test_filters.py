@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from helpers_llm import WORDS, edited, prose
@@ -14,7 +15,7 @@ from graphloom.llm import decontamination as D
 from graphloom.llm import mixing as M
 from graphloom.llm import secret_scan as S
 from graphloom.llm import url_filter as U
-from graphloom.llm.queries import URL_RULES
+from graphloom.llm.queries import QUERIES, SQL, URL_RULES
 
 
 def rows(df):
@@ -230,6 +231,20 @@ def test_urls(spark, seed):
     assert rows(found) == sorted(((i, *verdict_by_force(u, rules)) for i, u in data), key=repr)
 
 
+def test_url_query_judges_by_its_contract(spark, tmp_path):
+    """The rules as the contract words them, apart from URL_RULES: the query and its SQL give each one's word."""
+    contract = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    hosts = ["com", "example.com", "a.example.com", "myexample.com", "net", "example.net", "A.b.Example.NET", "org", "a.org", "xorg"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en", "/en/", "/en/7", "/en/71/x", "/de/", "/de/7", "/de/8", "/de/80?/en/", "/es/", "/es/1#x")] + [None, "net/de/1", "://net/de/"]
+    data = list(enumerate(urls))
+    spark.createDataFrame(data, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    want = sorted(((i, *verdict_by_force(u, contract)) for i, u in data), key=repr)
+    assert rows(QUERIES["op5_url_filter"](spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict")) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.execute(SQL["op5_url_filter"]).fetchall(), key=repr) == want
+
+
 def test_urls_without_rows(spark):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     assert rows(U.url_verdicts(spark.createDataFrame([], "page_id long, url string"), rules)) == []
