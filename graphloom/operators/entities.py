@@ -166,15 +166,19 @@ class EntityStore:
         frame, parts = self.frame(name), []
         if frame.fk(link) is not None:
             parts.append(frame.df.select(*ID, F.col(f"k_{link}").alias("target_type"), frame.fk(link).alias("target")).where("target IS NOT NULL"))
+        more = self.edge_frames(name, link)
+        if not parts and not more:
+            return self.spark.createDataFrame([], ID_SCHEMA + ", target_type int, target bigint")
+        return reduce(DataFrame.unionByName, parts + [e.distinct() for e in more] if distinct else parts + more)
+
+    def edge_frames(self, name: str, link: str) -> list[DataFrame]:
+        """The edges of a link that are frames, not a column, as edges gives them; repeats stay."""
         owners: dict[int, tuple[Link, list[str]]] = {}
-        for n in frame.names:
+        for n in self.frame(name).names:
             found = self.model.links(n).get(link)
             if found is not None and found.multiple:
                 owners.setdefault(id(found), (found, []))[1].append(n)
-        more = [self._edges(found, names) for found, names in owners.values()]
-        if not parts and not more:
-            return self.spark.createDataFrame([], ID_SCHEMA + ", target_type int, target bigint")
-        return reduce(DataFrame.unionByName, parts + [e.distinct() for e in more] if distinct else parts + more)
+        return [self._edges(found, names) for found, names in owners.values()]
 
     def _edges(self, link: Link, names: list[str]) -> DataFrame:
         if link.opposite is not None:

@@ -1,10 +1,14 @@
 """Semantics on small hand-made entities."""
 
+import random
+import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import writes
 from graphloom.operators.entities import EntityStore
 from graphloom.operators.jobs import Cancelled, cancelling
 from graphloom.operators.writes import add_entities, add_links, delete_entities, delete_links, delete_property, delete_type, insert_entities, link_violations, rename_type, set_blob, set_link, set_property, unique_key_violations
@@ -240,6 +244,45 @@ def test_links_between_types(spark):
         EntityStore(spark, [animal, EntityType("Cat", cats, "id", parent="Animal"), EntityType("Dog", dogs, "id", parent="Animal"), EntityType("Man", boss, "id", links=(Link("boss", "Animal", "boss"),))])["Man"].size()
 
 
+def test_link_violations(spark, monkeypatch):
+    """Against a count by hand: repeated and null ids, repeated edges, edges from nothing and to null, a type with a subtype."""
+    r = random.Random(3)
+    rows = {k: [(None if r.random() < 0.1 else r.randrange(30), r.choice([None, 1, 2])) for _ in range(40)] for k in ("Cat", "Lynx")}
+    edges = [(r.choice(["Cat", "Lynx", "Gone"]), r.choice([None, *range(40)]), "Cat", r.choice([None, 1, 2, 3])) for _ in range(150)]
+    ends = spark.createDataFrame(edges, "src_type string, src long, dst_type string, dst long")
+    frames = {k: spark.createDataFrame(v, "id long, boss long") for k, v in rows.items()}
+    kinds = {"likes": "1..n", "eats": "0..1", "sees": "0..n", "boss": "1"}
+    links = (*[Link(k, "Cat", edges=ends, cardinality=kinds[k]) for k in ("likes", "eats", "sees")], Link("boss", "Man", "boss", cardinality="1"))
+    s = EntityStore(spark, [EntityType("Man", spark.createDataFrame([(1,)], "id long"), "id"), EntityType("Cat", frames["Cat"], "id", links=links), EntityType("Lynx", frames["Lynx"], "id", parent="Cat")])
+    want = set()
+    for kind in rows:
+        for i, times in Counter(i for i, _ in rows[kind]).items():
+            targets = len({(t, d) for k, j, t, d in edges if (k, j) == (kind, i) and None not in (i, d)})
+            bosses = sum(i is not None and (i, b) == (j, b) and b is not None for j, b in rows[kind])
+            for link, n in (("likes", times * targets), ("eats", times * targets), ("boss", times * bosses)):
+                if n < int(kinds[link][0]) or n > 1 and not kinds[link].endswith("n"):
+                    want.add((s.model.ids[kind], i, link, n))
+    assert {x[2] for x in want} == {"likes", "eats", "boss"} and any(x[1] is None for x in want)
+    for most in (500_000, 7):
+        monkeypatch.setattr(writes, "EDGES", most, raising=False)
+        found = [tuple(x) for x in link_violations(s, "Cat").collect()]
+        assert len(found) == len(want) and set(found) == want
+    for kind in ("Cat", "Man"):
+        assert link_violations(s, kind).dtypes == [("type_id", "int"), ("local_id", "bigint"), ("link", "string"), ("n", "bigint")]
+    assert link_violations(s, "Man").isEmpty()
+
+
+def test_link_violations_in_bounded_tasks(spark, monkeypatch):
+    """No join or sort holds edges; they are dealt out by their number, whatever the session's partitions, and a link of any number isn't read."""
+    edges = spark.range(5000).selectExpr("id % 900 AS src", "id AS dst")
+    s = EntityStore(spark, [EntityType("A", spark.range(1000).toDF("id"), "id", links=(Link("b", "A", edges=edges), Link("any", "A", edges=edges.selectExpr("src", "raise_error('read') AS dst"), cardinality="0..n")))])
+    monkeypatch.setattr(writes, "EDGES", 100, raising=False)
+    df = link_violations(s, "A")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan and re.findall(r"hashpartitioning\(local_id#\d+L?, target#\d+L?, (\d+)\), REPARTITION", plan) == ["50"]
+    assert plan.count("Exchange") == 2 and df.count() == 900
+
+
 def test_insert_with_unique_keys(spark, store):
     users = store.model.types["User"]
     s = EntityStore(spark, [EntityType("User", users.df, "id", users.properties, indices=(Index(("login",)),))])
